@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from switchback.llm import pii
+from switchback.llm import neardup, pii, reading
 from switchback.llm.inputs import texts_of
 from switchback.sources.tables import table
 
@@ -19,6 +19,27 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(texts_of(spark, sf_dir, "inquiries", "hard", "documents")).select("tab", "rec_id", "clean_text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members = neardup.near_duplicates(texts_of(spark, sf_dir, "hard", "documents"), run=3, threshold=0.6)
+    return neardup.duplicate_pairs(links, members)
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicate_groups(*neardup.near_duplicates(texts_of(spark, sf_dir, "hard", "documents")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.listed_bands(table(spark, sf_dir, "documents"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents")).select("doc_id", "language", "level", "band")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.profile(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
