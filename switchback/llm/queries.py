@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from switchback.llm import neardup, pii, reading
+from switchback.llm import chunks, leaks, neardup, pii, reading
 from switchback.llm.inputs import texts_of
 from switchback.sources.tables import table
 
@@ -28,6 +28,22 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(*neardup.near_duplicates(texts_of(spark, sf_dir, "hard", "documents")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.oversized(table(spark, sf_dir, "chunks"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.split_long(table(spark, sf_dir, "chunks")).select("chunk_id", "source", "piece", "text", "words")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.listed_bands(table(spark, sf_dir, "documents"))
 
