@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from switchback.llm import chunks, leaks, neardup, pii, reading
+from switchback.llm import chunks, clusters, leaks, neardup, neighbours, pii, reading
 from switchback.llm.inputs import texts_of
 from switchback.sources.tables import table
 
@@ -28,6 +28,14 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(*neardup.near_duplicates(texts_of(spark, sf_dir, "hard", "documents")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "trail_vectors"))
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar(table(spark, sf_dir, "trail_vectors"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.oversized(table(spark, sf_dir, "chunks"))
 
@@ -36,6 +44,14 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.split_long(table(spark, sf_dir, "chunks")).select("chunk_id", "source", "piece", "text", "words")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "condition_reports")).select("cluster_id", "id")
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.described(table(spark, sf_dir, "condition_reports"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
