@@ -137,7 +137,7 @@ def bm25_topk(spark, d):
     return search.bm25(table(spark, d, "documents"), ASKED, id_col="doc_id").orderBy(F.desc("score"), "id").limit(10).select("id", six(F.col("score")).alias("score"))
 
 
-@query(f"with {BM25}, k as (select id, score, row_number() over w as rank, score - lead(score) over w as margin from b window w as (order by score desc, id)) select id, rank, round(margin, 6) as margin from k where rank <= 3")
+@query(f"with {BM25}, m as (select id, score, row_number() over w as rank, score - lead(score) over w as margin from b window w as (order by score desc, id)) select id, rank, round(margin, 6) as margin from m where rank <= 3")
 def margin(spark, d):
     return search.ranked(search.bm25(table(spark, d, "documents"), ASKED, id_col="doc_id"), 3, by="score").select("id", "rank", six(F.col("margin")).alias("margin"))
 
