@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from switchback.llm import chunks, clusters, leaks, neardup, neighbours, pii, reading
+from switchback.llm import chunks, clusters, leaks, mixing, neardup, neighbours, pii, reading
 from switchback.llm.inputs import texts_of
 from switchback.sources.tables import table
 
@@ -60,6 +60,14 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.listed_bands(table(spark, sf_dir, "documents"))
 
