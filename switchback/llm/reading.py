@@ -26,6 +26,10 @@ ENGLISH = "the|and|of|to|is|we|it|that|with|for|had|my|at|by|on|this|has|which|o
 SPANISH = "el|la|los|las|de|del|que|y|un|una|con|por|se|al|hay|lo|es|no|muy|desde|hasta"
 GERMAN = "der|die|das|und|ist|ein|eine|einen|von|mit|den|dem|zu|auf|im|nicht|sind|es|wir|bei|für|der|aber"
 
+#: Tokens that are no words, and signs around words.
+NO_WORDS = ("", "-", "–", "—", "|", "*", "•", "+", "=", "&", "...", "…", ">", "·", "/", ":", "---")
+SIGNS = ".,;:!?\"'()[]{}<>*_|“”‘’…-–—"
+
 
 def prose(text: Column) -> Column:
     """Running prose: front matter, headings, list marks and quotation marks of lines taken out."""
@@ -38,19 +42,24 @@ def prose(text: Column) -> Column:
 
 def with_features(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id``, ``text``) with counts and features of its prose; blank texts have none."""
-    p = F.col("_prose")
+    p, t = F.col("_prose"), F.col("_tokens")
     count = lambda pattern: F.regexp_count(p, F.lit(pattern)).cast("double")
+    having = lambda test: F.size(F.filter(t, test)).cast("double")
     marks = count(r"[.!?…]+[\"'”’)\]]*(?=\s|\z)")
     # fixed values: abbreviations whose period ends no sentence
-    inner = count(r"(?<![\p{L}\d])(?i:ca|approx|rd|mt|e\.g|i\.e|vs|mr|mrs|ms|dr|st|no|ft|mi|[ap]\.m)\.(?=\s+(?:[a-z\d(]|(?<=(?:Mt|St|Rd|Dr|Mr)\.\s)\p{Lu}))")
+    inner = count(r"(?i)\b(?:ca|approx|rd|mt|e\.g|i\.e|vs|mr|mrs|ms|dr|st|no|ft|mi|[ap]\.m)\.(?=\s+(?:[\d(]|(?-i:[a-z])|(?<=(?:mt|st|rd|dr|mr)\.\s)\p{L}))")
     loose = count(r"[\p{L}\d,;:](?=[ \t]*(?:\n[ \t]*\n|\s*\z))")
-    out = docs.withColumn("_prose", prose(F.col("text"))).select(
-        "*", count(r"\S*[\p{L}\d]\S*").alias("words"), F.length(F.regexp_replace(p, r"[^\p{L}]+", "")).cast("double").alias("letters"),
+    out = docs.withColumn("_prose", prose(F.col("text"))).withColumn("_tokens", F.filter(F.split(F.lower("_prose"), r"\s+"), lambda x: ~x.isin(*NO_WORDS)))
+    # words stripped of the signs around them, for the function words
+    bare = F.transform(t, lambda x: F.btrim(x, F.lit(SIGNS)))
+    among = lambda words: F.size(F.filter(F.col("_bare"), lambda x: x.isin(*sorted(set(words.split("|")))))).cast("double")
+    out = out.withColumn("_bare", bare).select(
+        "*", F.size(t).cast("double").alias("words"), F.length(F.regexp_replace(p, r"[^\p{L}]+", "")).cast("double").alias("letters"),
         F.greatest(F.lit(1.0), marks - inner + loose).alias("sentences"),
-        count(r"\p{L}{8,}").alias("n_long"), count(r"(?<!\p{L})\p{L}{1,3}(?!\p{L})").alias("n_short"), count(",").alias("n_comma"),
-        count(rf"(?i)(?<!\p{{L}})(?:{ENGLISH})(?!\p{{L}})").alias("n_en"),
-        count(rf"(?iu)(?<!\p{{L}})(?:{SPANISH})(?!\p{{L}})").alias("n_es"), count(rf"(?iu)(?<!\p{{L}})(?:{GERMAN})(?!\p{{L}})").alias("n_de"),
-    ).drop("_prose")
+        having(lambda x: F.length(x) >= 9).alias("n_long"), having(lambda x: F.length(x) <= 3).alias("n_short"),
+        (F.length(p) - F.length(F.replace(p, F.lit(","), F.lit("")))).cast("double").alias("n_comma"),
+        among(ENGLISH).alias("n_en"), among(SPANISH).alias("n_es"), among(GERMAN).alias("n_de"),
+    ).drop("_prose", "_tokens", "_bare")
     w = F.nullif(F.col("words"), F.lit(0.0))
     return out.select(
         "*", (F.col("words") / F.col("sentences")).alias("words_per_sentence"), (F.col("letters") / w).alias("letters_per_word"), (F.col("n_long") / w).alias("long_share"),
