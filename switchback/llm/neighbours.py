@@ -24,10 +24,10 @@ from switchback.plans.lineage import written
 
 DIM = 64
 BOOKS = 4
-WORDS = 64
+WORDS = 256
 BEAM = 4
 SAMPLE = 8_000
-RERANK = 32
+RERANK = 128
 PART = 4_096
 BLOCK = 8_192
 
@@ -163,8 +163,8 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 12, rerank: int = RERA
         at = {i: j for j, i in enumerate(ids)}
         me = np.array([at.get(i, -1) for i in who])
         parts = []
-        for lo in range(0, len(q), 1024):
-            b, mine = q[lo : lo + 1024], me[lo : lo + 1024]
+        for lo in range(0, len(q), 512):
+            b, mine = q[lo : lo + 512], me[lo : lo + 512]
             score = np.zeros((len(ids), len(b)), np.float32) - 0.5 * norm[:, None]
             for m in range(len(books)):
                 score += (books[m] @ b.T)[code[:, m]]  # the lookup table's rows of the codes
@@ -173,7 +173,7 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 12, rerank: int = RERA
             score[hit, mine[hit]] = -np.inf
             r = min(rerank, len(ids))
             top = np.argpartition(-score, r - 1, axis=1)[:, :r]
-            exact = np.einsum("qd,qrd->qr", b.astype(np.float64), x[top].astype(np.float64))
+            exact = np.einsum("qd,qrd->qr", b, x[top], dtype=np.float64)
             exact[top == mine[:, None]] = -np.inf
             top = np.take_along_axis(top, o := np.argsort(top, axis=1), 1)
             exact = np.take_along_axis(exact, o, 1)

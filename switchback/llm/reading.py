@@ -96,18 +96,20 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
     """Pool adjacent violators: thresholds and nondecreasing values of y over ascending x."""
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order].astype(float)
-    blocks: list[list[float]] = []  # first x, sum, count
+    blocks: list[list[float]] = []  # first x, sum, count, last x
     for a, b in zip(xs, ys):
         if blocks and blocks[-1][0] == a:
             blocks[-1][1] += b
             blocks[-1][2] += 1
         else:
-            blocks.append([a, b, 1])
+            blocks.append([a, b, 1, a])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             last = blocks.pop()
             blocks[-1][1] += last[1]
             blocks[-1][2] += last[2]
-    return [b[0] for b in blocks[1:]], [b[1] / b[2] for b in blocks]
+            blocks[-1][3] = last[3]
+    # a threshold lies halfway between two blocks, out of reach of rounding
+    return [(a[3] + b[0]) / 2 for a, b in zip(blocks, blocks[1:])], [b[1] / b[2] for b in blocks]
 
 
 def fit(x: np.ndarray, g: np.ndarray, seed: int = 7) -> Ranker:
