@@ -157,6 +157,15 @@ def cited_answers(questions: DataFrame, provider: ModelProvider) -> DataFrame:
     return every.select("id", stripped(F.col("answer"), F.col("left")).alias("answer"), "retried", F.size("left").alias("removed"), cited(F.col("answer")).alias("cited"))
 
 
+def compared(prompts: DataFrame, one: ModelProvider, two: ModelProvider) -> DataFrame:
+    """``(id, first, second, same)``: the labels two models give to the very same prompts."""
+    from switchback.functions.text import earliest_label
+
+    a = replies(prompts, one).select("id", earliest_label(F.col("reply")).alias("first"))
+    b = replies(prompts, two).select("id", earliest_label(F.col("reply")).alias("second"))
+    return a.join(b, "id").withColumn("same", F.col("first").eqNullSafe(F.col("second")))
+
+
 # what a summary is for, and for whom
 MODES = {"naive": "Summarize this trip report.", "briefing": "Write a briefing: hazards first, then conditions, then the rest. Say nothing the report does not say.", "headline": "Write one line that names the most important fact of the report."}
 AUDIENCES = {"hiker": "The reader plans to hike this trail tomorrow.", "ranger": "The reader is the ranger on duty and decides on closures."}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from switchback.functions import citations as C, text as X, validate as V
 from switchback.functions.vectors import cosine
 from switchback.operators import anomaly, catalog, review, scoring, search, sections, vectors
-from switchback.plans.providers import FakeProvider, gated_replies
+from switchback.plans.providers import AUDIENCES, MODES, FakeProvider, cited_answers, compared, embedded, gated_replies, summary_prompt
 from switchback.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,6 +395,68 @@ def json_rows(spark, d):
     return trails(spark, d).select(F.to_json(F.struct("id", "name", "park"), {"ignoreNullFields": "false"}).alias("packed"))
 
 
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query(f"with {REVIEWS} select id, md5({quoted(MODES['briefing'] + ' ' + AUDIENCES['ranger'])} || chr(10) || chr(10) || 'Report:' || chr(10) || text) as prompt from r where text is not null")
+def prompt_render(spark, d):
+    r = reviews(spark, d).where("text is not null")
+    return r.select("id", F.md5(summary_prompt(F.col("text"), "briefing", "ranger")).alias("prompt"))
+
+
+@query(f"with {TRAILS} select id, case when description = '' then '' else '  | ' || replace(description, chr(10), chr(10) || '  | ') end as indented from t")
+def indenting(spark, d):
+    return trails(spark, d).select("id", X.indented(F.col("description")).alias("indented"))
+
+
+@query("select doc_id, contains(text, 'The provided documents don''t say.') as refusal, starts_with(upper(text), 'ESCALATE') as escalated from documents where text is not null")
+def answer_flags(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.refused(F.col("text")).alias("refusal"), review.escalated(F.col("text")).alias("escalated"))
+
+
+@query(f"with {DIST}, s as (select label, avg(distance) as mean, stddev_pop(distance) as sd from d where id < 250 group by label) select id, label, round(distance - mean - sd, 6) as excess from d join s using (label) where distance > mean + sd")
+def anomaly_baseline(spark, d):
+    rows = anomaly.flagged(vectors.distances(items(spark, d), "label"), "label", 1.0, baseline=F.col("id") < 250)
+    return rows.select("id", "label", six(F.col("distance") - F.col("threshold")).alias("excess"))
+
+
+@query(f"with {TRAILS} select id, lower(difficulty) in ('permit', 'conditions', 'complaint', 'lost-and-found', 'emergency', 'general', 'unsure') as passed from t where difficulty is not null")
+def enum_validate(spark, d):
+    return trails(spark, d).where("difficulty is not null").select("id", V.category_verdict(F.lower("difficulty"))["passed"].alias("passed"))
+
+
+@query(f"with {REVIEWS}, q as (select id, text, [id || ':1'] as known, case when ends_with(id, '3') then 'Told in [' || id || ':2]' else 'Told in [' || id || ':1]' end as reply from r where text is not null) select id, case when ends_with(id, '3') then 'Told in [invalid-citation-removed]' else reply end as answer, ends_with(id, '3') as retried from q")
+def citation_repair(spark, d):
+    rows = reviews(spark, d).where("text is not null")
+    q = rows.select("id", F.col("id").alias("prompt"), F.array(F.concat("id", F.lit(":1"))).alias("retrieved"))
+
+    def reply(prompt: str) -> str:
+        i = prompt.split("\n")[0]
+        return f"Told in [{i}:{2 if i.endswith('3') else 1}]"
+
+    return cited_answers(q, FakeProvider(reply=reply)).select("id", "answer", "retried")
+
+
+@query(f"with {REVIEWS} select case when rating >= 4 then 'positive' else 'negative' end as first, case when rating >= 3 then 'positive' else 'negative' end as second, count(*) as rows from r where rating is not null group by all")
+def two_models(spark, d):
+    rows = reviews(spark, d).where("rating is not null").select("id", F.col("rating").cast("string").alias("prompt"))
+    strict = FakeProvider("strict", reply=lambda p: "Positive." if int(p) >= 4 else "negative")
+    mild = FakeProvider("mild", reply=lambda p: "positive, mostly" if int(p) >= 3 else " negative")
+    return compared(rows, strict, mild).groupBy("first", "second").agg(F.count("*").alias("rows"))
+
+
+@query()
+def embedding_cache(spark, d):
+    """Reviews embedded by the stand-in; equal texts share one cached vector."""
+    import uuid
+
+    from switchback.plans.lineage import shared_folder
+
+    cache = f"{shared_folder(spark)}/switchback/cache-{uuid.uuid4().hex}"
+    return embedded(reviews(spark, d).select("id", "text"), FakeProvider(), cache, task="search")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
