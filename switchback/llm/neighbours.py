@@ -33,13 +33,20 @@ BLOCK = 8_192
 
 
 def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
-    """``(id, v)`` of unit length, a row per id; null, zero, NaN, infinite and odd-sized vectors are left out."""
-    v = F.col("vector")
-    big = F.transform(v, lambda x: x.cast("double"))
-    fine = vectors.where(F.col("id").isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)))
-    norm = F.sqrt(F.aggregate(big, F.lit(0.0), lambda s, x: s + x * x))
-    unit = fine.withColumn("norm", norm).where("norm > 0").select("id", F.transform(v, lambda x: (x.cast("double") / F.col("norm")).cast("float")).alias("v"))
-    return unit.groupBy("id").agg(F.min("v").alias("v"))
+    """``(id, v)``, v the bytes of a float vector of unit length, a row per id; null, zero, NaN, infinite and odd-sized vectors are left out."""
+
+    def unit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            fit = np.array([v is not None and len(v) == dim for v in f["vector"]], bool)
+            x = np.array([np.asarray(v, np.float64) for v in f["vector"][fit]]).reshape(-1, dim)
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((x * x).sum(1))
+            good = np.isfinite(norm) & (norm > 0)
+            v = (x[good] / norm[good, None]).astype(np.float32)
+            yield pd.DataFrame({"id": f["id"].to_numpy()[fit][good], "v": [r.tobytes() for r in v]})
+
+    # nulls inside a vector arrive as NaN
+    return vectors.select("id", "vector").where("id is not null").mapInPandas(unit, "id string, v binary").groupBy("id").agg(F.min("v").alias("v"))
 
 
 @dataclass
@@ -103,8 +110,8 @@ def lists_for(n: int) -> int:
     return int(min(1024, max(8, 2 ** round(np.log2(max(n, 1) ** 0.5 / 2)))))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.float32) if len(column) else np.zeros((0, DIM), np.float32)
+def _matrix(column: pd.Series, dim: int = DIM) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1) if len(column) else np.zeros((0, dim), np.float32)
 
 
 def similar(vectors: DataFrame, k: int = 5, probes: int = 12, rerank: int = RERANK, sample: int = SAMPLE, dim: int = DIM) -> DataFrame:
@@ -130,7 +137,7 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 12, rerank: int = RERA
             codes, norms = encode(x, q.books)
             near = np.argsort(half - x @ q.coarse.T, axis=1, kind="stable")[:, :probes]
             yield pd.DataFrame({
-                "id": f["id"], "v": [r.tobytes() for r in x], "code": [r.tobytes() for r in codes], "norm": norms,
+                "id": f["id"], "v": f["v"], "code": [r.tobytes() for r in codes], "norm": norms,
                 "list": near[:, 0].astype(np.int32), "near": list(near.astype(np.int32)),
             })
 

@@ -133,8 +133,6 @@ def fit(x: np.ndarray, g: np.ndarray, seed: int = 7) -> Ranker:
 
 def fit_on(featured: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Ranker:
     """Fit on the first ``sample_docs`` English documents by hash of the id."""
-    from switchback.plans.lineage import written  # noqa: F401  (the sample is small: no table needed)
-
     sample = (
         featured.where("language = 'en'")
         .select(*FEATURES, grade(F.col("words_per_sentence"), F.col("letters_per_word")).alias("g"), F.xxhash64("doc_id").alias("h"))
