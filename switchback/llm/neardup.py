@@ -5,16 +5,17 @@ Each distinct text gets a min-wise signature of its word runs.  It is posted und
 
 * *prefix*: a text is posted only under its rarest coordinate values.  Rarity is read from a sketch of
   fixed size that counts the values of all texts; any common order will do, so its
-  collisions cost nothing but speed.  Texts above the threshold share several rare values;
-* *skip*: a longer list is not merged but split by the value of the following coordinate, again and
-  again until its parts are short (twice as much at each split, for chance meetings get
-  rarer; a meeting there counts as one in each coordinate of its key).  What is still long after ``depth`` coordinates holds texts that
-  agree in all of these and are nearly all links themselves: it is merged in blocks of bounded
-  size.  No list is dropped;
+  collisions cost nothing but speed.  Of two texts that agree in ``least_match`` coordinates or more,
+  the k rarest common values are among the ``coords - least_match + k`` rarest of each, so
+  that a prefix of this length loses no such pair;
+* *skip*: a longer list is not merged but split by every later value of its members in that prefix, again
+  and again until its parts are short.  The pair's next rarest common value is one of them, so nothing is lost.
+  A list whose long parts together hold as many pairs as itself (a family of near copies), and what is still long after
+  ``depth`` values, is merged in blocks of bounded size;
 * links that escape the lists inside a large family are completed through stars: pairs that share one
   of their smallest neighbours are compared too, until a round adds none;
-* collisions are counted by pair, pairs that meet at least ``meets`` times are compared by their whole
-  signatures, and what is left by the runs themselves, so the result holds no false pair.
+* members of a short list are compared by one byte of each coordinate, which travels with the posting, those of a block by their
+  whole signatures, and what is left by the runs themselves, so the result holds no false pair.
 
 Copies (equal word sequences) are one class with one representative before anything is posted.
 """
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -32,15 +33,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from switchback.plans.lineage import written
 
-#: Coordinates of a signature, and how many of them - the rarest - a text is posted under.
+#: Coordinates of a signature.
 COORDS = 32
-PREFIX = 14
 #: Counters of the sketch that tells rare values from common ones: its size does not grow with the data.
 COUNTERS = 1 << 16
-SHORT = 8
-GROWTH = 2
+#: Longest list that is merged as it is, and the most values a list is split by: both cost time only.
+SHORT = 64
 DEPTH = 4
-MEETS = 1
 WORD = re.compile(r"[^\W_]+")
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, size=(256, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -137,54 +136,119 @@ def value_counts(classes: DataFrame, coords: int) -> np.ndarray:
     return out.ravel()
 
 
-def candidates(classes: DataFrame, coords: int, prefix: int, short: int, depth: int, meets: int, least_match: int) -> DataFrame:
-    """Pairs ``(a, b)`` of class numbers, a < b, whose signatures agree in ``least_match`` coordinates or more."""
+POSTING = "parent long, pn int, key long, nid long, at byte, bytes binary"
+MEETING = "a long, b long, at byte, n int, parent long, pn int"
+
+
+def _ordered(sig: pd.Series, tabs: pd.Series, coords: int, counts: np.ndarray) -> np.ndarray:
+    """Keys of each text, the rarest first; the key itself breaks ties, so that the order is the same everywhere."""
+    keys = _keys(sig, tabs, coords)
+    return np.take_along_axis(keys, np.lexsort((keys, counts[(keys % np.uint64(COUNTERS)).astype(np.int64)]), axis=1), 1)
+
+
+def _bytes(sig: pd.Series, coords: int) -> np.ndarray:
+    """One byte of each coordinate as a value of its own."""
+    v = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, coords).astype(np.uint8)
+    return np.array([x.tobytes() for x in v], object)
+
+
+def _met(f: pd.DataFrame, least_match: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the members of each list of ``f`` (whole lists, one after another) whose bytes agree often enough."""
+    marks = np.frombuffer(b"".join(f["bytes"]), np.uint8).reshape(len(f), -1)
+    nid, size = f["nid"].to_numpy(), f["n"].to_numpy()
+    one, two = [], []
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n).reshape(-1, n)
+        x, y = np.triu_indices(n, 1)
+        step = max(1, 200_000 // len(x))
+        for lo in range(0, len(rows), step):
+            r = rows[lo : lo + step]
+            p, q = r[:, x].ravel(), r[:, y].ravel()
+            ok = np.count_nonzero(marks[p] == marks[q], axis=1) >= least_match
+            one.append(nid[p[ok]])
+            two.append(nid[q[ok]])
+    p, q = np.concatenate(one), np.concatenate(two)
+    both = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
+    return both[0], both[1]
+
+
+def met_in_lists(posted: DataFrame, short: int, least_match: int) -> DataFrame:
+    """Pairs of the short lists (``a``, ``b``; ``at`` is -1) and the postings of the longer ones (``a`` the text, ``b`` the list)."""
+    from pyspark.sql import Window
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            many = f[f["n"] > short]
+            if len(many):
+                yield many[["nid", "key", "at", "n", "parent", "pn"]].set_axis(["a", "b", "at", "n", "parent", "pn"], axis=1)
+            few = f[f["n"] <= short]
+            if held is not None:
+                few = pd.concat([held, few], ignore_index=True)
+            if not len(few):
+                continue
+            # rows come in the order of their keys: only the last list may go on in the next frame
+            last = int((few["key"].to_numpy() == few["key"].iloc[-1]).sum())
+            cut = len(few) - (last if last < few["n"].iloc[-1] else 0)
+            held, few = few.iloc[cut:], few.iloc[:cut]
+            if len(few):
+                a, b = _met(few, least_match)
+                yield pd.DataFrame({"a": a, "b": b, "at": np.int8(-1), "n": np.int32(0), "parent": 0, "pn": np.int32(0)})
+
+    sized = posted.withColumn("n", F.count("*").over(Window.partitionBy("key")).cast("int")).where("n > 1")
+    return sized.mapInPandas(meet, MEETING)
+
+
+def candidates(classes: DataFrame, coords: int, short: int, depth: int, least_match: int) -> DataFrame:
+    """All pairs ``(a, b)`` of class numbers, a < b, whose signatures agree in ``least_match`` coordinates or more."""
     counts = classes.sparkSession.sparkContext.broadcast(value_counts(classes, coords))
+    depth = min(depth, least_match)
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prefix = coords - least_match + 1
         for f in frames:
-            if not len(f):
-                continue
-            keys = _keys(f["sig"], f["tab"], coords)
-            # rarest first; the key itself breaks ties, so that the order is the same everywhere
-            order = np.lexsort((keys, counts.value[(keys % np.uint64(COUNTERS)).astype(np.int64)]), axis=1)[:, :prefix]
-            yield pd.DataFrame({
-                "nid": np.repeat(f["nid"].to_numpy(), order.shape[1]), "j": order.ravel().astype(np.int8),
-                "key": np.take_along_axis(keys, order, 1).ravel().view(np.int64),
-            })
+            if len(f):
+                keys = _ordered(f["sig"], f["tab"], coords, counts.value)[:, :prefix]
+                yield pd.DataFrame({
+                    "parent": 0, "pn": np.int32(0), "key": keys.ravel().view(np.int64), "nid": np.repeat(f["nid"].to_numpy(), prefix),
+                    "at": np.tile(np.arange(prefix, dtype=np.int8), len(f)), "bytes": np.repeat(_bytes(f["sig"], coords), prefix),
+                })
 
     def longer(frames: Iterator[pd.DataFrame], level: int) -> Iterator[pd.DataFrame]:
+        prefix = coords - least_match + level
         for f in frames:
             if not len(f):
                 continue
-            keys = _keys(f["sig"], f["tab"], coords)
-            nexts = keys[np.arange(len(f)), (f["j"].to_numpy().astype(np.int64) + level) % coords]
-            key = (f["key"].to_numpy().view(np.uint64) ^ nexts) * np.uint64(0x9E3779B97F4A7C15)
-            yield pd.DataFrame({"nid": f["nid"], "j": f["j"], "key": (key ^ (key >> np.uint64(29))).view(np.int64)})
-
-    posted = classes.select("nid", "tab", "sig").mapInPandas(post, "nid long, j byte, key long")
-    posted = written(posted, "posted1")
-    found = None
+            keys = _ordered(f["sig"], f["tab"], coords, counts.value)[:, :prefix]
+            row, at = np.nonzero(np.arange(prefix) > f["at"].to_numpy()[:, None])
+            parent = f["key"].to_numpy()[row]
+            key = (parent.view(np.uint64) ^ keys[row, at]) * np.uint64(0x9E3779B97F4A7C15)
+            yield pd.DataFrame({
+                "parent": parent, "pn": f["n"].to_numpy()[row], "key": (key ^ (key >> np.uint64(29))).view(np.int64),
+                "nid": f["nid"].to_numpy()[row], "at": at.astype(np.int8), "bytes": _bytes(f["sig"], coords)[row],
+            })
+
+    posted = classes.select("nid", "tab", "sig").mapInPandas(post, POSTING)
+    found, blocks, above = [], [], None
     for level in range(1, depth + 1):
-        limit = short * GROWTH ** (level - 1)
-        sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        sized = written(posted.join(sizes, "key"), f"lists{level}")
-        few = sized.where(F.col("n") <= limit).groupBy("key").agg(F.sort_array(F.collect_list("nid")).alias("m"))
-        pairs = few.select(F.explode(F.expr(
-            "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b))))"
-        )).alias("p")).select("p.a", "p.b", F.lit(level).cast("byte").alias("c"))
-        found = pairs if found is None else found.unionByName(pairs)
-        many = sized.where(F.col("n") > limit)
-        if level < depth:
-            if many.isEmpty():
-                break
-            posted = many.drop("n").join(classes.select("nid", "tab", "sig"), "nid").mapInPandas(partial(longer, level=level), "nid long, j byte, key long")
-            posted = written(posted, f"posted{level + 1}")
-        else:
-            found = found.unionByName(in_blocks(many.select("key", "nid")).withColumn("c", F.lit(meets).cast("byte")))
-    met = found.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= meets).select("a", "b")
-
-    return agreeing(met, classes, least_match)
+        met = written(met_in_lists(posted, short, least_match), f"met{level}")
+        found.append(met.where("at < 0").select("a", "b"))
+        many = met.where("at >= 0").select(F.col("a").alias("nid"), F.col("b").alias("key"), "at", "n", "parent", "pn")
+        if above is not None:
+            # a list of n members has n rows: (n - 1) / 2 a row are its pairs
+            dense = many.groupBy("parent").agg(F.sum((F.col("n") - 1) / 2).alias("below"), F.first("pn").alias("pn")).where("below >= pn * (pn - 1D) / 2")
+            dense = written(dense.select(F.col("parent").alias("key")), "dense")
+            blocks.append(above.join(dense, "key", "left_semi").select("key", "nid"))
+            many = many.join(dense.withColumnRenamed("key", "parent"), "parent", "left_anti")
+        if level == depth:
+            blocks.append(many.select("key", "nid"))
+        elif many.isEmpty():
+            break
+        above = many
+        posted = many.join(classes.select("nid", "tab", "sig"), "nid").mapInPandas(partial(longer, level=level + 1), POSTING)
+    if blocks:
+        found.append(agreeing(in_blocks(reduce(DataFrame.unionByName, blocks)), classes, least_match))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame, least_match: int) -> DataFrame:
@@ -256,7 +320,7 @@ def verified(pairs: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    texts: DataFrame, run: int = 5, threshold: float = 0.8, coords: int = COORDS, prefix: int = PREFIX, short: int = SHORT, depth: int = DEPTH, meets: int = MEETS, rounds: int = 3,
+    texts: DataFrame, run: int = 5, threshold: float = 0.8, coords: int = COORDS, short: int = SHORT, depth: int = DEPTH, rounds: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between classes and membership of ``texts(tab, rec_id, text)``.
 
@@ -273,7 +337,7 @@ def near_duplicates(
     members = ids.select("tab", "rec_id", "whole").join(classes.select("tab", "whole", "nid"), ["tab", "whole"]).select("tab", "rec_id", "nid")
     spread = (coords * threshold * (1 - threshold)) ** 0.5
     least_match = max(1, int(coords * threshold - 3.3 * spread))
-    pairs = written(candidates(classes, coords, prefix, short, depth, meets, least_match), "pairs")
+    pairs = written(candidates(classes, coords, short, depth, least_match), "pairs")
     heads = classes.select("tab", F.col("head").alias("rec_id"), "nid", "whole")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     wanted = heads.join(ends, "nid", "left_semi").select("tab", "rec_id", "nid")

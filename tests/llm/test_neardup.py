@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,18 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in itertools.pairwise(order)], "a long, b long")
     got = N.components(links, spark.range(n).withColumnRenamed("id", "nid")).collect()
     assert {r.root for r in got} == {0} and len(got) == n
+
+
+@pytest.mark.parametrize("short, depth, least_match", [(64, 4, 10), (4, 4, 10), (4, 2, 10), (4, 4, 18), (4, 4, 2)])
+def test_candidates_are_all_pairs_above_the_match_bound(spark, short, depth, least_match):
+    rng = random.Random(11)
+    # texts of few stock phrases, so that most values are common, and a family
+    phrases = [" ".join(f"p{i}w{k}" for k in range(8)) for i in range(60)]
+    texts = [" ".join(rng.sample(phrases, 6) + [f"u{i} v{i} x{i}"]) for i in range(600)]
+    texts += [" ".join(edited(rng, " ".join(phrases[:9]).split(), 4)) for _ in range(120)]
+    _, sig, _ = N.signatures(texts, 3, 32)
+    want = {(a, b) for a in range(len(texts)) for b in a + 1 + np.flatnonzero((sig[a + 1 :] == sig[a]).sum(1) >= least_match)}
+    classes = spark.createDataFrame([(i, "hard", x.tobytes()) for i, x in enumerate(sig)], "nid long, tab string, sig binary")
+    got = [tuple(r) for r in N.candidates(classes, 32, short, depth, least_match).select("a", "b").collect()]
+    # one byte stands for a value in short lists: a few more are let through
+    assert want <= set(got) and len(got) == len(set(got)) and len(got) <= 1.1 * len(want) + 20
