@@ -12,8 +12,8 @@ Each distinct text gets a min-wise signature of its word runs.  It is posted und
   and again until its parts are short.  The pair's next rarest common value is one of them, so nothing is lost.
   A list whose long parts together hold as many pairs as itself (a family of near copies), and what is still long after
   ``depth`` values, is merged in blocks of bounded size;
-* links that escape the lists inside a large family are completed through stars: pairs that share one
-  of their smallest neighbours are compared too, until a round adds none;
+* a pair whose signatures agree less often than their runs would have it is found through its family: all pairs
+  of texts that links join, directly or through others, are compared by their runs;
 * members of a short list are compared by one byte of each coordinate, which travels with the posting, those of a block by their
   whole signatures, and what is left by the runs themselves, so the result holds no false pair.
 
@@ -272,18 +272,17 @@ def in_blocks(rows: DataFrame, size: int = 512) -> DataFrame:
     return mates.select("x", F.explode("m").alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def star_pairs(links: DataFrame, centres: int = 8) -> DataFrame:
-    """Pairs of classes that share one of their smallest neighbours (themselves included) and are not linked yet.
+def family_pairs(links: DataFrame) -> DataFrame:
+    """Pairs of classes that links join through other classes, but not directly.
 
-    Members of a large family have many common values that no short list tells apart, so some of
-    their links escape the lists; but all members of a star resemble its centre.
+    New links among them leave the families as they are, so that once is enough.
     """
-    from pyspark.sql import Window
-
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.unionByName(both.select("a", F.col("a").alias("b"))).distinct()
-    first = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("r") <= centres)
-    return in_blocks(first.select(F.col("b").alias("key"), F.col("a").alias("nid"))).join(links.select("a", "b"), ["a", "b"], "left_anti")
+    nodes = links.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    roots = written(components(links, nodes), "families")
+    within = links.join(roots.withColumnRenamed("nid", "a"), "a").groupBy("root").agg(F.count("*").alias("links"))
+    partial_ones = roots.groupBy("root").agg(F.count("*").alias("n")).join(within, "root").where("links < n * (n - 1) / 2").select("root")
+    rows = roots.join(partial_ones, "root", "left_semi").select(F.col("root").alias("key"), "nid")
+    return in_blocks(rows).join(links.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _sets(texts: list[str], run: int) -> list[np.ndarray]:
@@ -310,6 +309,9 @@ def verified(pairs: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
             sims = []
             for x, y in zip(f["ra"], f["rb"]):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                    sims.append(0.0)
+                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 sims.append(both / (len(x) + len(y) - both))
             g = pd.DataFrame({"a": f["a"], "b": f["b"], "sim": np.array(sims, float)})
@@ -320,7 +322,7 @@ def verified(pairs: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    texts: DataFrame, run: int = 5, threshold: float = 0.8, coords: int = COORDS, short: int = SHORT, depth: int = DEPTH, rounds: int = 3,
+    texts: DataFrame, run: int = 5, threshold: float = 0.8, coords: int = COORDS, short: int = SHORT, depth: int = DEPTH,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between classes and membership of ``texts(tab, rec_id, text)``.
 
@@ -344,11 +346,7 @@ def near_duplicates(
     head_texts = texts.select("tab", "rec_id", "text").where("text is not null").join(wanted, ["tab", "rec_id"]).groupBy("nid").agg(F.min("text").alias("text"))
     runs = written(run_sets(head_texts, run), "runs")
     links = written(verified(pairs, runs, threshold), "links")
-    for _ in range(rounds):
-        more = written(verified(agreeing(star_pairs(links), classes, least_match), runs, threshold), "more")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+    links = links.unionByName(written(verified(family_pairs(links), runs, threshold), "more"))
     return links.join(classes.select(F.col("nid").alias("a"), "tab"), "a").select("tab", "a", "b", "sim"), members
 
 

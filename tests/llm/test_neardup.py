@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -102,3 +103,28 @@ def test_candidates_are_all_pairs_above_the_match_bound(spark, short, depth, lea
     got = [tuple(r) for r in N.candidates(classes, 32, short, depth, least_match).select("a", "b").collect()]
     # one byte stands for a value in short lists: a few more are let through
     assert want <= set(got) and len(got) == len(set(got)) and len(got) <= 1.1 * len(want) + 20
+
+
+@pytest.mark.parametrize("copies, edits", [(200, (4, 6)), (1500, (5, 6))])
+def test_large_families_near_the_threshold_equal_brute_force(spark, copies, edits):
+    rng = random.Random(copies)
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join(edited(rng, base, rng.randint(*edits))) for _ in range(copies)]
+    sets = [runs(t, 3) for t in texts]
+    uses = Counter(itertools.chain.from_iterable(sets))
+    known = {r: k for k, r in enumerate(r for r, n in uses.items() if n > 1)}
+    held = np.zeros((copies, len(known)), np.float32)
+    sizes = np.array([len(s) for s in sets])
+    for i, s in enumerate(sets):
+        held[i, [known[r] for r in s if r in known]] = 1
+    both = (held @ held.T).astype(int)
+    x, y = np.nonzero(np.triu(both >= 0.6 * (sizes[:, None] + sizes[None] - both), 1))
+    df = spark.createDataFrame([("hard", f"{i:04d}", t) for i, t in enumerate(texts)], "tab string, rec_id string, text string")
+    links, members = N.near_duplicates(df, 3, 0.6)
+    got = N.duplicate_pairs(links, members).select(F.col("id_a").cast("int").alias("x"), F.col("id_b").cast("int").alias("y")).toPandas()
+    assert len(got) == len(x) and (np.sort(got["x"] * copies + got["y"]) == np.sort(x * copies + y)).all()
+
+
+def test_a_pair_missed_by_the_lists_is_found_through_its_family(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (10, 11), (10, 12), (11, 12)], "a long, b long")
+    assert {tuple(r) for r in N.family_pairs(links).collect()} == {(1, 3), (1, 4), (2, 4)}
