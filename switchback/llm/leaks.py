@@ -209,10 +209,12 @@ def find_in(texts: list[str], index: Index) -> list[tuple[int, int]]:
             parsed = {d: words_of(codes[d])}
         h, pos = parsed[d]
         item = index.words[i][0]
-        first = int(np.searchsorted(pos, mid))
-        part = h[max(0, first - 24) : first + len(item) + 32]
+        # the item's word that the text begins in, if the diagonal lies before the text
+        missing = int(np.searchsorted(index.words[i][1], -mid)) if mid < 0 else 0
+        first = int(np.searchsorted(pos, mid)) - missing
+        part = h[max(0, first - 24) : max(0, first + len(item) + 32)]
         if first < 24:  # keep the diagonal where it is
-            part = np.concatenate([np.zeros(24 - max(first, 0), np.uint64), part])
+            part = np.concatenate([np.zeros(24 - first, np.uint64), part])
         same, span = align(item, part)
         if same >= HELD * len(item) and same >= DENSITY * span:
             found.append((d, index.ids[i]))

@@ -60,3 +60,15 @@ def test_fold():
     words = lambda t: L.words_of(L.folded(t))[0].tolist()
     assert words("Café, 1,234 don't") == words("cafe 1234 dont")
     assert words("a[12] b") == words("a b") and words("") == []
+
+
+@pytest.mark.parametrize("held", [0.52, 0.6, 0.8])
+def test_texts_that_begin_inside_an_item(held):
+    for n in (40, 75, 120):
+        items = [(k, text(n)) for k in range(20)]
+        index = L.Index([(k, " ".join(w)) for k, w in items])
+        tails = [" ".join(w[n - int(n * held + 1) :] + text(60)) for _, w in items]
+        assert L.find_in(tails, index) == [(k, k) for k in range(20)]
+        # the document ends with the passage, too
+        assert L.find_in([" ".join(w[n - int(n * held + 1) :]) for _, w in items], index) == [(k, k) for k in range(20)]
+        assert L.find_in([" ".join(w[n - int(n * 0.4) :] + text(60)) for _, w in items], index) == []
