@@ -300,19 +300,32 @@ class Likely(dict):
         return found
 
 
-def _candidates(t: str, likely: Likely) -> list[tuple[int, int, str, str, str, str]]:
-    """Name-shaped pairs as (start, end, term, its side, other term, its side), a row for each form of a hyphenated word."""
+#: Of each shape, the group that is the surname and the rank of its reading: a surname takes the first that fits, as in _name_spans.
+READINGS = [(2, 0), (1, 1), (1, 1), (2, 2), (1, 3)]
+
+
+def _candidates(t: str, likely: Likely, fixed: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str, str, str, int, int, bool]]:
+    """Name-shaped pairs as (start, end, term, its side, other term, its side, place of the surname, rank, whether it is no mention after all), a row for each form of a hyphenated word."""
     out = []
     for k, (pattern, s1, s2) in enumerate(SHAPES):
+        surname, rank = READINGS[k]
         for m in pattern.finditer(t):
             one, two = (likely[m[1]] if s1 else ("",)), (likely[m[2]] if s2 else ("",))
             if one and two:
-                end = m.end(2) + (k == 4)
-                if not NAMED_THING.match(t, end):
-                    out += [(m.start(1), end, a, s1, b, s2) for a in one for b in two]
+                start, end = m.start(1), m.end(2) + (k == 4)
+                void = NAMED_THING.match(t, end) is not None or any(start < y and x < end for x, y, _ in fixed)
+                out += [(start, end, a, s1, b, s2, m.start(surname), rank, void) for a in one for b in two]
     return out
 
 
+def _chosen(readings: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int, str]]:
+    """Names among the readings (surname's place, rank, start, end, void) of one text: one a surname, then from left to right."""
+    best: dict[int, tuple[int, int, int, int, bool]] = {}
+    for x in sorted(readings):
+        best.setdefault(x[0], x)
+    return _first_cover([(start, end, "name") for _, _, start, end, void in best.values() if not void])
+
+
 def _first_cover(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans kept from left to right, the earlier and longer first."""
     kept, last = [], -1
@@ -455,8 +468,6 @@ def scanned_mentions(rows: DataFrame, sides) -> DataFrame:
 
 def joined_mentions(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Mentions with a vocabulary of any size: name-shaped pairs that a bitmap of fixed size lets through are joined with it."""
-    from pyspark.sql import Window
-
     bits = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap_of(vocabulary)))
 
     def shaped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -467,22 +478,30 @@ def joined_mentions(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 t, at = visible(text)
                 place = at or range(len(t) + 1)
                 fixed = shaped_spans(t)
-                out += [(tab, i, kind, place[a] + 1, place[b], "", "", "", "") for a, b, kind in fixed]
+                out += [(tab, i, kind, place[a] + 1, place[b], "", "", "", "", 0, 0, False) for a, b, kind in fixed]
                 out += [
-                    (tab, i, "name", place[a] + 1, place[b], k1, s1, k2, s2)
-                    for a, b, k1, s1, k2, s2 in _candidates(t, likely)
-                    if not any(a < y and x < b for x, y, _ in fixed)
+                    (tab, i, "name", place[a] + 1, place[b], k1, s1, k2, s2, at_surname, rank, void)
+                    for a, b, k1, s1, k2, s2, at_surname, rank, void in _candidates(t, likely, fixed)
                 ]
-            yield pd.DataFrame(out, columns=["tab", "rec_id", "kind", "start_pos", "end_pos", "k1", "s1", "k2", "s2"])
+            yield pd.DataFrame(out, columns=["tab", "rec_id", "kind", "start_pos", "end_pos", "k1", "s1", "k2", "s2", "surname_at", "rank", "void"])
 
-    wide = rows.mapInPandas(shaped, MENTION + ", k1 string, s1 string, k2 string, s2 string")
+    wide = rows.mapInPandas(shaped, MENTION + ", k1 string, s1 string, k2 string, s2 string, surname_at long, rank int, void boolean")
     v = vocabulary.select("term", "side")
     one, two = v.toDF("k1", "s1").withColumn("ok1", F.lit(True)), v.toDF("k2", "s2").withColumn("ok2", F.lit(True))
     named = wide.where("kind = 'name'").join(one, ["k1", "s1"], "left").join(two, ["k2", "s2"], "left").where("(s1 = '' or ok1) and (s2 = '' or ok2)")
-    # overlapping readings of one place: the earliest, then the longest
-    w = Window.partitionBy("tab", "rec_id").orderBy("start_pos", F.desc("end_pos")).rowsBetween(Window.unboundedPreceding, -1)
-    named = named.withColumn("before", F.max("end_pos").over(w)).where("before is null or start_pos > before")
     cols = ["tab", "rec_id", "kind", "start_pos", "end_pos"]
+
+    def kept(readings):
+        return pd.Series([
+            [{"start_pos": a, "end_pos": b - 1} for a, b, _ in _chosen([(r["surname_at"], r["rank"], r["start_pos"], r["end_pos"] + 1, r["void"]) for r in x])]
+            for x in readings
+        ], dtype=object)
+
+    # the same choice as with a broadcast: one reading a surname, overlaps from left to right against the last one kept
+    kept.__annotations__ = {"readings": pd.Series, "return": pd.Series}
+    resolve = F.pandas_udf(kept, "array<struct<start_pos:long,end_pos:long>>")
+    texts = named.groupBy("tab", "rec_id").agg(F.collect_set(F.struct("surname_at", "rank", "start_pos", "end_pos", "void")).alias("readings"))
+    named = texts.select("tab", "rec_id", F.lit("name").alias("kind"), F.explode(resolve("readings")).alias("x")).select("tab", "rec_id", "kind", "x.*")
     return wide.where("kind <> 'name'").select(cols).unionByName(named.select(cols))
 
 

@@ -59,6 +59,16 @@ def test_exact_way_beyond_the_broadcast_bound(spark):
     assert a == b
 
 
+def test_a_comma_list_of_names_on_both_paths(spark):
+    rows = [*ROWS, ("t", "20", "Seen by Ann Bellock, Cyra Corvel, Ann Corvel, Cyra Bellock"), ("t", "21", "Corvel, Ann Bellock, Cyra Corvel"), ("t", "22", "Bellock, Cyra Corvel Memorial, Ann Corvel")]
+    found = [sorted((r.rec_id, r.kind, r.start_pos, r.end_pos) for r in pii.find_mentions(table(spark, rows), bound).collect()) for bound in (pii.MAX_TERMS, 0)]
+    assert found[0] == found[1]
+    assert len([x for x in found[1] if x[0] == "20"]) == 4 and len([x for x in found[1] if x[0] == "21"]) == 2
+    for bound in (pii.MAX_TERMS, 0):
+        clean = {r.rec_id: r.clean_text for r in pii.redact(table(spark, rows), bound).collect()}
+        assert clean["20"] == "Seen by [NAME], [NAME], [NAME], [NAME]"
+
+
 def test_redaction_keeps_everything_else(spark):
     got = {r.rec_id: r.clean_text for r in pii.redact(table(spark)).collect()}
     assert got["1"] == "Thanks, [NAME]. Write to [EMAIL]." and got["5"] is None and got["6"] == ""
