@@ -25,7 +25,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.duplicate_groups(*neardup.near_duplicates(texts_of(spark, sf_dir, "hard", "documents")))
+    return neardup.duplicate_groups(*neardup.near_duplicates(texts_of(spark, sf_dir, "hard", "documents"), run=3, threshold=0.6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

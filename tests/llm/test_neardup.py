@@ -90,19 +90,42 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in got} == {0} and len(got) == n
 
 
-@pytest.mark.parametrize("short, depth, least_match", [(64, 4, 10), (4, 4, 10), (4, 2, 10), (4, 4, 18), (4, 4, 2)])
-def test_candidates_are_all_pairs_above_the_match_bound(spark, short, depth, least_match):
+def agreeing(texts, least_match, least_marks):
+    """Signature rows of the texts, and all pairs above both bounds."""
+    _, sig, _ = N.signatures(texts, 3)
+    match = [(sig[a + 1 :, : N.COORDS] == sig[a, : N.COORDS]).sum(1) for a in range(len(sig))]
+    marks = [((sig[a + 1 :] ^ sig[a]) & 3 == 0).sum(1) for a in range(len(sig))]
+    want = {(a, b) for a in range(len(sig)) for b in a + 1 + np.flatnonzero((match[a] >= least_match) & (marks[a] >= least_marks))}
+    values = np.ascontiguousarray(sig[:, : N.COORDS]).view(np.int64)
+    rows = [(i, "hard", *map(int, v), *map(int, m)) for i, (v, m) in enumerate(zip(values, N._packed(sig)))]
+    return rows, want
+
+
+@pytest.mark.parametrize("block, least_match", [(2048, 10), (40, 10), (7, 10), (7, 18), (7, 2)])
+def test_candidates_are_all_pairs_above_the_match_bound(spark, block, least_match):
     rng = random.Random(11)
     # texts of few stock phrases, so that most values are common, and a family
     phrases = [" ".join(f"p{i}w{k}" for k in range(8)) for i in range(60)]
     texts = [" ".join(rng.sample(phrases, 6) + [f"u{i} v{i} x{i}"]) for i in range(600)]
     texts += [" ".join(edited(rng, " ".join(phrases[:9]).split(), 4)) for _ in range(120)]
-    _, sig, _ = N.signatures(texts, 3, 32)
-    want = {(a, b) for a in range(len(texts)) for b in a + 1 + np.flatnonzero((sig[a + 1 :] == sig[a]).sum(1) >= least_match)}
-    classes = spark.createDataFrame([(i, "hard", x.tobytes()) for i, x in enumerate(sig)], "nid long, tab string, sig binary")
-    got = [tuple(r) for r in N.candidates(classes, 32, short, depth, least_match).select("a", "b").collect()]
-    # one byte stands for a value in short lists: a few more are let through
-    assert want <= set(got) and len(got) == len(set(got)) and len(got) <= 1.1 * len(want) + 20
+    rows, want = agreeing(texts, least_match, 68)
+    classes = spark.createDataFrame(rows, "nid long, tab string, " + ", ".join(f"{c} long" for c in N.SIG + N.MARK))
+    got = [tuple(r) for r in N.candidates(classes, least_match, 68, block=block).select("a", "b").collect()]
+    assert want <= set(got) and len(got) == len(set(got))
+    # a pair that meets in one list and whose marks collide often is let through
+    assert set(got) <= agreeing(texts, 1, 68)[1]
+
+
+def test_a_hot_list_is_posted_in_blocks(spark):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(edited(rng, base, 2)) for _ in range(300)]
+    rows, want = agreeing(texts, 10, 68)
+    classes = spark.createDataFrame(rows, "nid long, tab string, " + ", ".join(f"{c} long" for c in N.SIG + N.MARK))
+    made = N.posting(classes, N.COORDS, 10, 20)
+    _, _, parts = made.lists(classes.toPandas())
+    assert parts.max() >= 10  # 300 members in blocks of 20
+    assert want <= {tuple(r) for r in N.candidates(classes, 10, 68, block=20).collect()}
 
 
 @pytest.mark.parametrize("copies, edits", [(200, (4, 6)), (1500, (5, 6))])
@@ -126,5 +149,19 @@ def test_large_families_near_the_threshold_equal_brute_force(spark, copies, edit
 
 
 def test_a_pair_missed_by_the_lists_is_found_through_its_family(spark):
+    # four texts in a chain and apart from it a pair and a triangle, which are complete; all runs are shared
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (10, 11), (10, 12), (11, 12)], "a long, b long")
-    assert {tuple(r) for r in N.family_pairs(links).collect()} == {(1, 3), (1, 4), (2, 4)}
+    runs = spark.createDataFrame([(i, np.arange(20, dtype=np.uint32).tobytes()) for i in (1, 2, 3, 4, 7, 8, 10, 11, 12)], "nid long, runs binary")
+    assert {(r.a, r.b) for r in N.incomplete(links).collect()} == {(1, 2), (2, 3), (3, 4)}
+    for size in (128, 1):
+        assert {(r.a, r.b, r.sim) for r in N.family_links(links, runs, 0.6, size).collect()} == {(1, 3, 1.0), (1, 4, 1.0), (2, 4, 1.0)}
+    assert N.family_links(links.where("a > 5"), runs, 0.6) is None
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["Äpfel_und Birnen 3x, don't", "", "_", "日本 word\u0301s 𝟛 ²", "a" * 5000 + " b", "İstanbul"]
+    hashes, counts = N.word_hashes(texts)
+    words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    flat = list(itertools.chain.from_iterable(words))
+    assert len({*zip(flat, hashes.tolist())}) == len(set(flat)) == len(set(hashes.tolist()))
