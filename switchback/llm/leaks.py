@@ -5,11 +5,13 @@ to letters and digits (case, marks, look-alikes, punctuation, bracketed referenc
 removed), and the items' character q-grams form an index.
 
 1. Each shared q-gram lies on a diagonal (place in the document minus place in the item).  Shared
-   q-grams are counted in overlapping bands of diagonals.
+   q-grams are counted in overlapping bands of diagonals, as wide as the words that half an item may gain or lose
+   within the edit budget.
 2. By the q-gram lemma a passage of m characters with e edited words keeps at least
    m - q + 1 - e * (word length + q - 1) of its q-grams; a band with fewer cannot hold half
    an item within the edit budget and is dropped.
-3. What is left is verified by a banded local alignment of words.
+3. Every band that is left is verified, the fullest first, by a local alignment of words in a band around its diagonals that
+   grows with the item's edit budget.
 
 The index is broadcast in blocks of at most ``block_items`` items and ``block_chars`` characters, so its
 size is bounded however large the test set is.
@@ -26,7 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 Q = 8
+#: Least width of a band of diagonals, in letters, and of the alignment on each side, in words.
 BAND = 64
+WIDTH = 24
 #: Share of a passage's words that may have been changed.
 EDITED = 0.25
 HELD = 0.5
@@ -98,7 +102,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, edited: float = EDITED):
         grams, owner, place = [], [], []
-        self.ids, self.words, self.least = [], [], []
+        self.ids, self.words, self.least, self.band, self.width = [], [], [], [], []
         for k, (i, text) in enumerate(items):
             codes = folded(text)
             h, at = words_of(codes)
@@ -113,6 +117,9 @@ class Index:
             size = len(solid) / max(len(h), 1)
             lemma = half - q + 1 - edited * HELD * len(h) * (size + q - 1)
             self.least.append(max(4, int(lemma)))
+            # half an item may drift by its budget of words either way; bands overlap by half, so they are twice as wide
+            self.band.append(max(BAND, 2 * int(np.ceil(edited * HELD * len(h) * size))))
+            self.width.append(max(WIDTH, int(np.ceil(edited * len(h) + self.band[-1] / max(size, 1)))))
         g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(g, kind="stable")
         self.gram, first = np.unique(g[order], return_index=True)
@@ -120,6 +127,9 @@ class Index:
         self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int32))[order]
         self.place = (np.concatenate(place) if place else np.zeros(0, np.int32))[order]
         self.least = np.array(self.least, np.int64)
+        self.band = np.array(self.band, np.int64)
+        #: No diagonal lies further before the text.
+        self.longest = int(self.place.max(initial=0))
         self.bits = np.zeros(1 << self.BITS, bool)
         self.bits[slot(self.gram)] = True
 
@@ -139,8 +149,8 @@ def slot(g: np.ndarray) -> np.ndarray:
     return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - Index.BITS)).astype(np.int64)
 
 
-def regions(solid: np.ndarray, text_at: np.ndarray, index: Index, band: int = BAND) -> list[tuple[int, int, int]]:
-    """(text, item, middle diagonal) of the bands that meet the bound; ``text_at``: first place of each text."""
+def regions(solid: np.ndarray, text_at: np.ndarray, index: Index) -> dict[tuple[int, int], list[int]]:
+    """Middle diagonals of the bands of each (text, item) that meet the bound, the fullest first; ``text_at``: first place of each text."""
     g = qgrams(solid)
     p = np.flatnonzero(index.bits[slot(g)])
     k = np.searchsorted(index.gram, g[p])
@@ -150,52 +160,51 @@ def regions(solid: np.ndarray, text_at: np.ndarray, index: Index, band: int = BA
     inside = p + Q <= np.append(text_at, len(solid))[doc + 1]
     p, k, doc = p[inside], k[inside], doc[inside]
     if not len(p):
-        return []
+        return {}
     n = index.first[k + 1] - index.first[k]
     rep = np.repeat(np.arange(len(p)), n)
     e = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + index.first[k][rep]
     item = index.owner[e].astype(np.int64)
-    diag = (p[rep] - text_at[doc[rep]]) - index.place[e] + 4096  # a place may lie before the text's start
-    out: dict[tuple[int, int], tuple[int, int]] = {}
-    for shift in (0, band // 2):
-        b = (diag + shift) // band
-        key = (doc[rep].astype(np.int64) << 40) | (item << 24) | (b & 0xFFFFFF)
-        u, c = np.unique(key, return_counts=True)
-        good = c >= index.least[(u >> 24) & 0xFFFF]
-        for x, m in zip(u[good].tolist(), c[good].tolist()):
-            d, i, bb = x >> 40, (x >> 24) & 0xFFFF, x & 0xFFFFFF
-            if out.get((d, i), (0, 0))[0] < m:
-                out[d, i] = (m, bb * band - shift + band // 2 - 4096)
-    return [(d, i, mid) for (d, i), (_, mid) in out.items()]
-
-
-def align(item: np.ndarray, part: np.ndarray, band: int = 24) -> tuple[int, int]:
+    diag = (p[rep] - text_at[doc[rep]]) - index.place[e] + index.longest
+    band = index.band[item]
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for half in (0, 1):
+        b = (diag + half * (band // 2)) // band
+        rows = np.stack([doc[rep], item, b])
+        order = np.lexsort(rows[::-1])
+        rows = rows[:, order]
+        first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(0)]))
+        c = np.diff(np.append(first, rows.shape[1]))
+        good = c >= index.least[rows[1, first]]
+        for d, i, x, m in zip(*rows[:, first[good]].tolist(), c[good].tolist()):
+            w = int(index.band[i])
+            found.setdefault((d, i), []).append((-m, x * w - half * (w // 2) + w // 2 - index.longest))
+    return {key: [mid for _, mid in sorted(bands)] for key, bands in found.items()}
+
+
+_SCORE, _SAME, _SPAN = np.int64(1) << np.int64(40), np.int64(1) << np.int64(20), np.int64(1)
+
+
+def align(item: np.ndarray, part: np.ndarray, width: int = WIDTH) -> tuple[int, int]:
     """(equal words, item words spanned) of the best local alignment; equal 1, other -1, gap -1.
 
-    ``part`` is the document's words around the region; only cells within ``band`` words of the
-    diagonal that starts at ``band`` are filled.
+    ``part`` is the document's words around the region; only cells within ``width`` words of the diagonal that
+    starts at word ``width`` are filled, a row at a time.  A cell holds score, equal words and span in one number.
     """
-    best = (0, 0, 0)
-    n, m = len(item), len(part)
-    prev: dict[int, tuple[int, int, int]] = {}
-    for i in range(n):
-        row: dict[int, tuple[int, int, int]] = {}
-        same = part == item[i]
-        lo, hi = max(0, i - 2), min(m, i + 2 * band + 1)
-        for j in range(lo, hi):
-            d = prev.get(j - 1, (0, 0, 0))
-            s = (d[0] + 1, d[1] + 1, d[2] + 1) if same[j] else (d[0] - 1, d[1], d[2] + 1)
-            u, left = prev.get(j), row.get(j - 1)
-            if u and u[0] - 1 > s[0]:
-                s = (u[0] - 1, u[1], u[2] + 1)
-            if left and left[0] - 1 > s[0]:
-                s = (left[0] - 1, left[1], left[2])
-            if s[0] > 0:
-                row[j] = s
-                if s > best:
-                    best = s
-        prev = row
-    return best[1], best[2]
+    if max(len(item), len(part)) >= 1 << 20:
+        raise ValueError("an item of a million words is no test item")
+    cells = 2 * width + 1
+    rise = np.arange(cells, dtype=np.int64) * _SCORE
+    padded = np.concatenate([part, np.zeros(max(0, len(item) + cells - len(part)), np.uint64)])
+    prev, best = np.zeros(cells, np.int64), np.int64(0)
+    for i in range(len(item)):
+        # cell k stands for word i + k of the part; the word above it is cell k + 1 of the row before
+        now = prev + np.where(padded[i : i + cells] == item[i], _SCORE + _SAME + _SPAN, _SPAN - _SCORE)
+        now[:-1] = np.maximum(now[:-1], prev[1:] + (_SPAN - _SCORE))
+        now = np.maximum.accumulate(now + rise) - rise
+        prev = np.where(now >= _SCORE, now, 0)
+        best = max(best, prev.max())
+    return int(best >> np.int64(20)) & 0xFFFFF, int(best) & 0xFFFFF
 
 
 def find_in(texts: list[str], index: Index) -> list[tuple[int, int]]:
@@ -204,20 +213,22 @@ def find_in(texts: list[str], index: Index) -> list[tuple[int, int]]:
     solids = [c[c > 1] for c in codes]
     at = np.concatenate([[0], np.cumsum([len(s) for s in solids])])[:-1].astype(np.int64)
     found, parsed = [], {}
-    for d, i, mid in sorted(regions(np.concatenate(solids) if solids else np.zeros(0, np.uint8), at, index)):
+    for (d, i), mids in sorted(regions(np.concatenate(solids) if solids else np.zeros(0, np.uint8), at, index).items()):
         if d not in parsed:
             parsed = {d: words_of(codes[d])}
         h, pos = parsed[d]
-        item = index.words[i][0]
-        # the item's word that the text begins in, if the diagonal lies before the text
-        missing = int(np.searchsorted(index.words[i][1], -mid)) if mid < 0 else 0
-        first = int(np.searchsorted(pos, mid)) - missing
-        part = h[max(0, first - 24) : max(0, first + len(item) + 32)]
-        if first < 24:  # keep the diagonal where it is
-            part = np.concatenate([np.zeros(24 - first, np.uint64), part])
-        same, span = align(item, part)
-        if same >= HELD * len(item) and same >= DENSITY * span:
-            found.append((d, index.ids[i]))
+        item, width = index.words[i][0], index.width[i]
+        for mid in mids:
+            # the item's word that the text begins in, if the diagonal lies before the text
+            missing = int(np.searchsorted(index.words[i][1], -mid)) if mid < 0 else 0
+            first = int(np.searchsorted(pos, mid)) - missing
+            part = h[max(0, first - width) : max(0, first + len(item) + width + 1)]
+            if first < width:  # keep the diagonal where it is
+                part = np.concatenate([np.zeros(width - first, np.uint64), part])
+            same, span = align(item, part, width)
+            if same >= HELD * len(item) and same >= DENSITY * span:
+                found.append((d, index.ids[i]))
+                break
     return found
 
 

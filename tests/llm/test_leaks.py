@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,41 @@ def test_texts_that_begin_inside_an_item(held):
         # the document ends with the passage, too
         assert L.find_in([" ".join(w[n - int(n * held + 1) :]) for _, w in items], index) == [(k, k) for k in range(20)]
         assert L.find_in([" ".join(w[n - int(n * 0.4) :] + text(60)) for _, w in items], index) == []
+
+
+@pytest.mark.parametrize("n", [30, 75, 150, 400, 600, 3000])
+def test_long_items_and_drift(n):
+    items = [(k, text(n)) for k in range(4)]
+    index = L.Index([(k, " ".join(w)) for k, w in items])
+    every = [(k, k) for k in range(4)]
+
+    def inserted(words):
+        return [x for k, w in enumerate(words) for x in ([RNG.choice(LEXICON), w] if k % 6 == 3 else [w])]
+
+    tails = [w[n // 2 - 1 :] for _, w in items]
+    assert L.find_in([" ".join(w + text(60)) for w in tails], index) == every  # at the start of a document
+    assert L.find_in([" ".join(text(90) + w) for w in tails], index) == every
+    assert L.find_in([" ".join(text(90) + inserted(w) + text(9)) for _, w in items], index) == every
+    assert L.find_in([" ".join(text(90) + [x for k, x in enumerate(w) if k % 6] + text(9)) for _, w in items], index) == every  # words left out
+    assert L.find_in([" ".join(inserted(w[n - int(n * 0.6) :]) + text(60)) for _, w in items], index) == every
+    assert L.find_in([" ".join(text(90) + inserted(w[: int(n * 0.4)]) + text(9)) for _, w in items], index) == []
+
+
+def test_alignment_equals_a_full_table():
+    rng = random.Random(8)
+    for _ in range(60):
+        item = [rng.randrange(1, 6) for _ in range(rng.randrange(1, 25))]
+        part = [rng.randrange(1, 6) for _ in range(rng.randrange(0, 40))]
+        best = (0, 0, 0)
+        table = {}
+        for i in range(len(item)):
+            for j in range(len(part)):
+                def at(x, y):
+                    return table.get((x, y), (0, 0, 0))
+                d, u, left = at(i - 1, j - 1), at(i - 1, j), at(i, j - 1)
+                hit = part[j] == item[i]
+                cell = max((d[0] + (1 if hit else -1), d[1] + hit, d[2] + 1), (u[0] - 1, u[1], u[2] + 1), (left[0] - 1, left[1], left[2]))
+                table[i, j] = cell if cell[0] > 0 else (0, 0, 0)
+                best = max(best, table[i, j])
+        wide = np.concatenate([np.zeros(50, np.uint64), np.array(part, np.uint64)])
+        assert L.align(np.array(item, np.uint64), wide, 50) == best[1:]
