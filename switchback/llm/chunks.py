@@ -53,25 +53,27 @@ def offsets(text: str) -> tuple[list[tuple[int, int]], list[int]]:
     return words, cuts
 
 
-def pieces(n: int, cuts: list[int], limit: int, overlap: int) -> list[tuple[int, int, bool]]:
-    """Word ranges (first, end, hard) that cover ``n`` words in order."""
+def pieces(n: int, cuts: list[int], limit: int, overlap: int) -> list[tuple[int, int, bool, bool]]:
+    """Word ranges (first, end, hard, forced) that cover ``n`` words in order; ``forced``: a stretch that ends or is cut here exceeds ``limit - overlap``."""
     out, start, fresh = [], 0, 0
     while n - start > limit:
         k = bisect_right(cuts, start + limit) - 1
         hard = k < 0 or cuts[k] <= fresh
         end = start + limit if hard else cuts[k]
-        out.append((start, end, hard))
+        # only the first piece, which repeats nothing, can hold a longer stretch without a hard cut
+        wide = fresh == 0 and not hard and max(b - a for a, b in zip([0, *cuts[:k]], cuts[: k + 1])) > limit - overlap
+        out.append((start, end, hard, hard or wide))
         start, fresh = max(end - overlap, 0), end
     if n:
-        out.append((start, n, False))
+        out.append((start, n, False, False))
     return out
 
 
 def split_long(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of ``chunks(chunk_id, source, text)``: ``(chunk_id, source, piece, text, words, of_words, hard, forced)``.
 
-    ``hard``: the piece ends at the limit, not at a boundary; ``forced``: some stretch between successive
-    boundaries of the chunk is longer than ``limit - overlap``, so that no plan without hard cuts is
+    ``hard``: the piece ends at the limit, not at a boundary; ``forced``: the stretch between successive
+    boundaries in which it ends is longer than ``limit - overlap``, so that no plan without hard cuts is
     safe.  Texts within the limit are one piece as they are; null and blank texts give none; rows repeated under one
     id count once (the smallest source and text); a null source stays null; an overlap must be under the limit.
     """
@@ -84,9 +86,7 @@ def split_long(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
             for i, source, text in zip(f["chunk_id"], f["source"], f["text"]):
                 words, cuts = offsets(text)
                 n = len(words)
-                edges = [0, *cuts, n]
-                forced = n > limit and max(b - a for a, b in zip(edges, edges[1:])) > limit - overlap
-                for k, (a, b, hard) in enumerate(pieces(n, cuts, limit, overlap)):
+                for k, (a, b, hard, forced) in enumerate(pieces(n, cuts, limit, overlap)):
                     rows.append((i, source, k, text[words[a][0] : words[b - 1][1]] if n > limit else text, b - a, n, hard, forced))
             yield pd.DataFrame(rows, columns=["chunk_id", "source", "piece", "text", "words", "of_words", "hard", "forced"])
 
@@ -95,6 +95,6 @@ def split_long(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
 
 
 def oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """``(chunk_id, cut)`` of the chunks that had to be cut."""
+    """``(chunk_id, cut)`` of the chunks that had to be cut, from their pieces."""
     cut = split_long(chunks, limit, overlap).where(F.col("of_words") > limit).groupBy("chunk_id").agg(F.max("forced").alias("forced"))
     return cut.select("chunk_id", F.when(F.col("forced"), "forced").otherwise("clean").alias("cut"))

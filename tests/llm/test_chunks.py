@@ -22,9 +22,9 @@ def test_pieces_cover_the_text(parts, limit, overlap):
     text = " ".join(parts)
     words, cuts = C.offsets(text)
     got = C.pieces(len(words), cuts, limit, overlap)
-    assert all(0 < b - a <= limit for a, b, _ in got)
+    assert all(0 < b - a <= limit for a, b, *_ in got)
     seen = []
-    for k, (a, b, hard) in enumerate(got):
+    for k, (a, b, hard, _) in enumerate(got):
         seen += range(a if k == 0 else got[k - 1][1], b)
         if k:
             assert a == max(got[k - 1][1] - overlap, 0) and b > got[k - 1][1]
@@ -33,6 +33,8 @@ def test_pieces_cover_the_text(parts, limit, overlap):
             # the last boundary within the limit was taken
             assert hard or not any(b < c <= a + limit for c in cuts)
     assert seen == list(range(len(words)))
+    edges = [0, *cuts, len(words)]
+    assert any(x[3] for x in got) == (len(words) > limit and max(b - a for a, b in zip(edges, edges[1:])) > limit - overlap)
 
 
 def test_cases(spark):
