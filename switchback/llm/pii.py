@@ -1,17 +1,19 @@
 """Personal information in free text.
 
-Numbers and addresses of a fixed shape (e-mail, phone, identity number, street address)
-are found by their shape.  Names have none, so they are found the way an
-information-theoretic sanitiser finds disclosive terms:
-
-1. a first pass over *all* texts counts which capitalised terms stand next to each other,
-   how often each word is written in lower case, and which terms occur inside e-mail
-   addresses - terms that are certain to reveal a person;
-2. a term's disclosure is the probability that its neighbour is a protected term, given the
-   term - i.e. how strongly seeing the term reveals an entity; its value in bits is the
+Terms are the words of names and, as a whole each, the numbers and addresses of a fixed shape (e-mail, phone, identity
+number, street address).  What is replaced is decided the way an information-theoretic sanitiser finds disclosive terms:
+
+1. a first pass over *all* texts counts which capitalised terms stand next to each other, which terms occur inside e-mail
+   addresses - terms that are certain to reveal a person -, how often each word is written in lower case (in texts that
+   use capitals at all: others say nothing of it), and which capitalised pair stands nearest to each shaped term;
+2. the disclosure of a word is the probability that its neighbour is a protected term, given the
+   word - i.e. how strongly seeing it reveals an entity; its value in bits is the
    pointwise mutual information with the protected class.  Given names and surnames are the
-   terms above the threshold on their side of the pair;
-3. a second pass replaces each run of such terms (in any case or order, with initials).
+   words above the threshold on their side of the pair, taken in turn until no word is added;
+   words known from addresses alone are weighed by the share of their uses that lie in addresses;
+3. the disclosure of a shaped term is the largest share that one entity has of its occurrences.  A term that stands beside
+   many different ones, none of which has that share (the number of an office), reveals nobody and is left;
+4. a second pass replaces shaped terms and each run of protected words (in any case or order, with initials).
 
 The protected vocabulary is broadcast only while it has at most ``max_terms`` entries; beyond
 that the second pass emits the name-shaped pairs that a bitmap of fixed size lets through, and the
@@ -34,6 +36,12 @@ from pyspark.sql import DataFrame, functions as F
 MAX_TERMS = 500_000
 #: A term is protected from this share of protected neighbours on.
 MIN_DISCLOSURE = 0.5
+#: The seeds are few, so in the first round a given name needs only this share of neighbours among them.
+SEED_DISCLOSURE = 0.02
+#: A word of names is written with a capital, beside another, in at least this share of its uses (names, too, are written small at times).
+CAPITALISED = 0.25
+#: A shaped term reveals an entity if it has this share of the term's occurrences.
+MIN_SHAPED = 0.1
 FLUSH = 200_000
 
 INVISIBLE = re.compile("[̀-ͯ​-‏­⁠﻿]")
@@ -42,6 +50,9 @@ WORD = r"[^\W\d_](?:[\w'’]|-(?=[^\W\d_]))*"
 TITLE = rf"(?:(?={CAP}){WORD})"
 PAIR = re.compile(rf"\b({TITLE})(?=\s+({TITLE}))")
 WORDS = re.compile(rf"(?<![\w'’-]){WORD}")
+#: Runs that begin with a word or hold none: much faster to find than the words themselves.
+CHUNK = re.compile(r"[\w'’-]+")
+_WORD = re.compile(WORD)
 
 # fixed values: separators and spoken forms of e-mail addresses
 DOT = r"(?:\s*[\(\[{]\s*dot\s*[\)\]}]\s*|\s+dot\s+|\.)"
@@ -77,11 +88,13 @@ ADDRESS = re.compile(
 #: What may stand before a house number: a unit, or nothing that runs on into the number.
 BEFORE_NUMBER = re.compile(rf"(?<![\w.,#/-]){UNIT}\Z", re.I)
 RUNS_ON = re.compile(r"[\w.,#/-]\Z")
-ADDRESS_LOOSE = re.compile(
-    rf"(?<![\w.,#/-])(?:{UNIT})?(?:\d{{1,5}}(?:-?[a-z])?|{DIGIT_WORD}(?:\s+{DIGIT_WORD})*)\s+(?:[nsew]\.?\s+|north\s+|south\s+|east\s+|west\s+)?"
-    rf"(?:old\s+|new\s+|upper\s+|lower\s+)?(?!(?:{MEASURE})\b)[^\W\d_]{{4,}}\s+(?:{STREET})\b",
-    re.I,
-)
+#: An article makes it a count ("the 8 rocky drive").
+ARTICLE = re.compile(r"\b(?:the|an?)\s+\Z", re.I)
+_LOOSE = rf"\s+(?:[nsew]\.?\s+|north\s+|south\s+|east\s+|west\s+)?(?:old\s+|new\s+|upper\s+|lower\s+)?(?!(?:{MEASURE})\b)[^\W\d_]{{4,}}\s+(?:{STREET})\b"
+#: Street addresses in any case: with a number in digits, and with one in words.
+ADDRESS_LOOSE = re.compile(rf"\d{{1,5}}(?:-?[a-z])?{_LOOSE}", re.I)
+ADDRESS_SPOKEN = re.compile(rf"(?<![\w.,#/-])(?:{UNIT})?{DIGIT_WORD}(?:\s+{DIGIT_WORD})*{_LOOSE}", re.I)
+STREET_WORDS = frozenset(w for x in STREET.split("|") for w in (x, x.lower(), x.upper()))
 PO_BOX = re.compile(r"\bP\.?\s?O\.?\s+Box\s+(?:\d+|" + DIGIT_WORD + r")|\bpost\s+office\s+box\s+(?:\d+|" + DIGIT_WORD + ")", re.I)
 SSN = re.compile(r"(?<![\w–—-])(?<![\d][ .])(?:\d{3}([ -–—.]?)\d{2}\1\d{4})(?![\w–—]|-\w|[ .]\d)")
 ID_LETTERS = re.compile(
@@ -126,9 +139,9 @@ def spells_address(t: str) -> bool:
 
 
 def shaped_spans(t: str, words: list[str] | None = None) -> list[tuple[int, int, str]]:
-    """Mentions that have a fixed shape, as (start, end, kind), not overlapping."""
+    """Mentions that have a fixed shape, as (start, end, kind), not overlapping; ``words``: the chunks of the text."""
     found: list[tuple[int, int, str]] = []
-    words = WORDS.findall(t) if words is None else words
+    words = CHUNK.findall(t) if words is None else words
 
     def add(a: int, b: int, kind: str) -> None:
         if b > a and not any(a < y and x < b for x, y, _ in found):
@@ -142,15 +155,16 @@ def shaped_spans(t: str, words: list[str] | None = None) -> list[tuple[int, int,
             add(m.start(), m.end(), "email")
     for m in PO_BOX.finditer(t) if "ox " in t or "OX " in t else ():
         add(m.start(), m.end(), "address")
-    for m in ADDRESS.finditer(t):
-        head = t[max(0, m.start() - 24) : m.start()]
-        if unit := BEFORE_NUMBER.search(head):
-            add(m.start() - len(head) + unit.start(), m.end(), "address")
-        elif not RUNS_ON.search(head):
-            add(m.start(), m.end(), "address")
     spoken = says_digits(words)
-    if spoken or not any(map(str.isupper, t[:60])):
-        for m in ADDRESS_LOOSE.finditer(t):
+    for shape in (ADDRESS, ADDRESS_LOOSE):
+        for m in shape.finditer(t):
+            head = t[max(0, m.start() - 24) : m.start()]
+            if unit := BEFORE_NUMBER.search(head):
+                add(m.start() - len(head) + unit.start(), m.end(), "address")
+            elif not RUNS_ON.search(head) and not ARTICLE.search(head):
+                add(m.start(), m.end(), "address")
+    if spoken or not (DIGIT_WORDS.isdisjoint(words) or STREET_WORDS.isdisjoint(words)):
+        for m in ADDRESS_SPOKEN.finditer(t):
             add(m.start(), m.end(), "address")
     if LETTER_HINT.search(t):
         for m in ID_LETTERS.finditer(t):
@@ -172,20 +186,27 @@ def shaped_spans(t: str, words: list[str] | None = None) -> list[tuple[int, int,
     return sorted(found)
 
 
+def shaped_term(kind: str, mention: str) -> str:
+    """A mention without signs and case, the form in which its occurrences are counted."""
+    return f"{kind}:{''.join(c for c in mention.lower() if c.isalnum())}"
+
+
 def local_terms(address: str) -> list[str]:
     local = re.split(rf"@|{AT}", address, maxsplit=1, flags=re.I)[0].split("+")[0]
-    return [term(x) for x in re.split(r"[._\-\s\(\)\[\]]+|\bdot\b|\bunderscore\b", local) if len(x) > 2 and x.isalpha()]
+    return [term(x) for x in re.split(r"[._\-\s\(\)\[\]]+|\bdot\b|\bunderscore\b", local) if len(x) > 1 and x.isalpha()]
 
 
 def evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of one task: pairs ``p``, e-mail terms ``e``, lower-case words ``l``."""
+    """Counts of one task: pairs ``p``, e-mail terms ``e``, lower-case words ``l``, shaped terms with the nearest pair ``s``."""
     pairs: Counter = Counter()
     inside: Counter = Counter()
     lower: Counter = Counter()
+    shaped: Counter = Counter()
 
     def out() -> pd.DataFrame:
-        rows = [("p", term(a), term(b), n) for (a, b), n in pairs.items()] + [("e", a, "", n) for a, n in inside.items()] + [("l", term(a), "", n) for a, n in lower.items() if a.isalpha() and a[0].islower()]
-        for c in (pairs, inside, lower):
+        rows = [("p", term(a), term(b), n) for (a, b), n in pairs.items()] + [("e", a, "", n) for a, n in inside.items()]
+        rows += [("l", term(a), "", n) for a, n in lower.items() if a.isalpha() and a[0].islower()] + [("s", a, b, n) for (a, b), n in shaped.items()]
+        for c in (pairs, inside, lower, shaped):
             c.clear()
         return pd.DataFrame(rows, columns=["what", "a", "b", "n"])
 
@@ -194,67 +215,94 @@ def evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not text:
                 continue
             t = visible(text)[0]
-            raw = PAIR.findall(t)
-            if raw:
-                pairs.update(raw)
-                lower.update(t.split())
-            if "@" in t:
-                for m in EMAIL_PLAIN.finditer(t):
-                    inside.update(local_terms(m[0]))
-            if spells_address(t):
-                for m in EMAIL_SPOKEN.finditer(t):
-                    inside.update(local_terms(m[0]))
-        if len(pairs) + len(lower) > FLUSH:
+            words = CHUNK.findall(t)
+            if not t.islower():
+                raw = PAIR.findall(t)
+                if raw:
+                    pairs.update(raw)
+                lower.update(words)
+            spans = shaped_spans(t, words)
+            if not spans:
+                continue
+            near = [(m.start(), f"{term(m[1])} {term(m[2])}") for m in PAIR.finditer(t)]
+            for a, b, kind in spans:
+                if kind == "email":
+                    inside.update(local_terms(t[a:b]))
+                shaped[shaped_term(kind, t[a:b]), min(near, key=lambda x: abs(x[0] - a), default=(0, ""))[1]] += 1
+        if len(pairs) + len(lower) + len(shaped) > FLUSH:
             yield out()
     yield out()
 
 
+def public_terms(counts: DataFrame, min_shaped: float = MIN_SHAPED) -> DataFrame:
+    """Shaped terms ``(term, side, disclosure, bits)`` that reveal nobody; side is ``public``.
+
+    An occurrence without an entity nearby may be of any: each counts as one of its own.
+    """
+    n = F.col("n")
+    by = counts.where("what = 's'").groupBy("a").agg(F.sum(n).alias("all"), F.max(F.when(F.col("b") == "", 1).otherwise(n)).alias("most"))
+    share = F.col("most") / F.col("all")
+    return by.where(share < min_shaped).select(F.col("a").alias("term"), F.lit("public").alias("side"), share.alias("disclosure"), F.log2(share).alias("bits"))
+
+
 def protected_terms(texts: DataFrame, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
-    """Vocabulary ``(term, side, disclosure, bits)``; side is ``given`` or ``surname``.
+    """Vocabulary ``(term, side, disclosure, bits)``; side is ``given``, ``surname`` or, of shaped terms that are left, ``public``.
 
     Everything after the first pass works on counts by term, aggregated before the shuffle.
     """
-    from switchback.plans.lineage import written
+    from switchback.plans.lineage import forget, written
 
     counts = written(texts.select("text").mapInPandas(evidence, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")), "terms")
     pairs = counts.where("what = 'p'").select("a", "b", "n")
-    seeds = counts.where("what = 'e'").select(F.col("a").alias("t")).distinct()
+    inside = counts.where("what = 'e'").select(F.col("a").alias("term"), "n")
     # lower-case uses outside addresses: what an address holds is counted there already
     signed = F.when(F.col("what") == "l", F.col("n")).otherwise(-F.col("n"))
     lower = counts.where("what in ('l', 'e')").groupBy(F.col("a").alias("term")).agg(F.sum(signed).alias("n_lower"))
+    things = F.col("term").isin(*THING_WORDS)
 
     def side(own: str, other: str, anchors: DataFrame, least: float) -> DataFrame:
-        hit = anchors.select(F.col("t").alias(other), F.lit(1).alias("hit"))
+        hit = anchors.select(F.col("term").alias(other), F.lit(1).alias("hit"))
         seen = pairs.join(hit, other, "left").groupBy(F.col(own).alias("term")).agg(
             F.sum("n").alias("n"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("n_hit")
         )
         return (
             seen.join(lower, "term", "left")
-            .where("n_hit > 0 and length(term) > 2 and n >= coalesce(n_lower, 0)")
+            .where(f"n_hit > 0 and length(term) > 1 and n >= {CAPITALISED} * (n + greatest(coalesce(n_lower, 0), 0))")
             .withColumn("disclosure", F.col("n_hit") / F.col("n"))
             .where(F.col("disclosure") >= least)
             .select("term", "n", "n_hit", "disclosure")
         )
 
-    # the anchors are few at first, so the first round asks for less; the others for the threshold
-    given, surname = side("a", "b", seeds, min_disclosure / 25), None
-    for _ in range(2):
-        surname = side("b", "a", given.select(F.col("term").alias("t")), min_disclosure).where(~F.col("term").isin(*THING_WORDS))
-        surname = written(surname, "surnames")
-        given = written(side("a", "b", surname.select(F.col("term").alias("t")), min_disclosure), "given")
-    given2 = given
-    # a term of e-mail addresses that is never an ordinary word reveals a person wherever it stands
-    named = counts.where("what = 'e'").groupBy(F.col("a").alias("term")).agg(F.sum("n").alias("n")).where("n > 1")
-    named = named.join(lower.where("n_lower > 0"), "term", "left_anti").join(given2.select("term"), "term", "left_anti").join(surname.select("term"), "term", "left_anti")
-    surname = surname.unionByName(named.where(~F.col("term").isin(*THING_WORDS)).select("term", "n", F.col("n").alias("n_hit"), F.lit(1.0).alias("disclosure")))
+    # each round asks more words, never fewer, so the rounds end
+    given, surname, known = side("a", "b", inside, SEED_DISCLOSURE), None, -1
+    while True:
+        surname = written(side("b", "a", given, min_disclosure).where(~things), "surnames")
+        more = side("a", "b", surname, min_disclosure)
+        if known >= 0:
+            more = more.unionByName(given.join(more, "term", "left_anti"))
+        last, given = given, written(more, "given")
+        n = given.count()
+        if known >= 0:
+            forget(last)
+        if n == known:
+            break
+        known = n
+    # words of addresses that stand on neither side of a pair: the share of their uses that lie in addresses
+    uses = pairs.select(F.explode(F.array("a", "b")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_pairs"))
+    named = inside.where("n > 1").join(given, "term", "left_anti").join(surname, "term", "left_anti").join(lower, "term", "left").join(uses, "term", "left")
+    rest = F.coalesce("n_pairs", F.lit(0)) + F.greatest(F.coalesce("n_lower", F.lit(0)), F.lit(0))
+    # a single use as an ordinary word tells more than many in addresses
+    named = named.where(~things & (F.coalesce("n_lower", F.lit(0)) <= 0)).withColumn("disclosure", F.col("n") / (F.col("n") + rest)).where(F.col("disclosure") >= min_disclosure)
+    surname = surname.unionByName(named.select("term", (F.col("n") + rest).alias("n"), F.col("n").alias("n_hit"), "disclosure"))
     # a term seen on both sides belongs to the side where it is seen more
-    both = given2.withColumn("side", F.lit("given")).unionByName(surname.withColumn("side", F.lit("surname")))
+    both = given.withColumn("side", F.lit("given")).unionByName(surname.withColumn("side", F.lit("surname")))
     total = pairs.agg(F.sum("n").alias("all"))
     base = both.agg(F.sum("n").alias("named"))
     best = both.groupBy("term").agg(F.max_by(F.struct("side", "n", "disclosure"), F.struct("n_hit", "side")).alias("x")).select("term", "x.*")
-    return best.join(F.broadcast(total), how="cross").join(F.broadcast(base), how="cross").select(
+    words = best.join(F.broadcast(total), how="cross").join(F.broadcast(base), how="cross").select(
         "term", "side", "disclosure", F.log2(F.col("disclosure") * F.col("all") / F.col("named")).alias("bits")
     )
+    return words.unionByName(public_terms(counts))
 
 
 SHAPES = [
@@ -262,7 +310,7 @@ SHAPES = [
     (re.compile(rf"(?<![\w'’-])({WORD})(?=\s+(?:>\s*)?(?:[^\W\d_]\.?\s+|[^\W\d_]\.\s*)?({WORD}))"), "given", "surname"),
     (re.compile(rf"(?<![\w'’-])({WORD})(?=\s*,\s+({WORD}))"), "surname", "given"),
     (re.compile(rf"(?<![\w'’-])({WORD})(?=\s+(?:>\s*)?({WORD}))"), "surname", "given"),
-    (re.compile(rf"(?<![\w'’.-])([^\W\d_])\.\s*(?:[^\W\d_]\.\s*)?({WORD})"), "", "surname"),
+    (re.compile(rf"(?<![\w'’.-])(?=([^\W\d_])\.\s*(?:[^\W\d_]\.\s*)?({WORD}))"), "", "surname"),
     (re.compile(rf"(?<![\w'’-])({WORD})(?=,\s+({CAP})\.)"), "surname", ""),
 ]
 #: Bits of the prefilter of the exact way: 2 MB, whatever the vocabulary.
@@ -313,7 +361,9 @@ def _candidates(t: str, likely: Likely, fixed: list[tuple[int, int, str]]) -> li
             one, two = (likely[m[1]] if s1 else ("",)), (likely[m[2]] if s2 else ("",))
             if one and two:
                 start, end = m.start(1), m.end(2) + (k == 4)
-                void = NAMED_THING.match(t, end) is not None or any(start < y and x < end for x, y, _ in fixed)
+                void = NAMED_THING.match(t, end) is not None
+                end = without_possessive(t, end)
+                void = void or any(start < y and x < end for x, y, _ in fixed)
                 out += [(start, end, a, s1, b, s2, m.start(surname), rank, void) for a in one for b in two]
     return out
 
@@ -339,11 +389,11 @@ def _first_cover(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]
 def spans_of(text: str, sides: Sides) -> list[tuple[int, int, str]]:
     """All mentions of a text with places in the text as given (0-based, end exclusive)."""
     t, at = visible(text)
-    words = WORDS.findall(t)
+    words = CHUNK.findall(t)
     found = shaped_spans(t, words)
     names = _name_spans(t, sides, words)
     names = [n for n in names if not any(n[0] < y and x < n[1] for x, y, _ in found)]
-    spans = sorted(found + _first_cover(names))
+    spans = sorted([x for x in found if shaped_term(x[2], t[x[0] : x[1]]) not in sides.vocabulary] + _first_cover(names))
     return spans if at is None else [(at[a], at[b], kind) for a, b, kind in spans]
 
 
@@ -362,12 +412,27 @@ class Sides(dict):
         return own
 
 
+@lru_cache(maxsize=200_000)
+def first_word(chunk: str) -> str:
+    """The word that a chunk begins with, or nothing."""
+    m = _WORD.match(chunk)
+    return m[0] if m else ""
+
+
 GAP_PAIR = re.compile(r"\s+(?:>\s*)?(?:[^\W\d_]\.?\s+|[^\W\d_]\.\s*)?\Z")
 GAP_COMMA = re.compile(r"\s*,\s+\Z")
 INITIAL_BEFORE = re.compile(r"(?<![\w'’.-])[^\W\d_]\.\s*(?:[^\W\d_]\.\s*)?\Z")
 INITIAL_AFTER = re.compile(rf",\s+{CAP}\.")
 
 
+GOES_ON = re.compile(r"[\w'’]|-[^\W\d_]")
+
+
+def without_possessive(t: str, end: int) -> int:
+    """The end of a name without a possessive ending."""
+    return end - 2 if t[end - 2 : end] in ("'s", "’s") else end
+
+
 def _occurrences(t: str, words: set[str]) -> list[tuple[int, int, str]]:
     """Places of whole words, in order."""
     out = []
@@ -375,15 +440,15 @@ def _occurrences(t: str, words: set[str]) -> list[tuple[int, int, str]]:
         at = t.find(w)
         while at >= 0:
             end = at + len(w)
-            if not (at and (t[at - 1].isalnum() or t[at - 1] in "_'’-")) and not (end < len(t) and (t[end].isalnum() or t[end] == "_")):
+            if not (at and (t[at - 1].isalnum() or t[at - 1] in "_'’-")) and not GOES_ON.match(t, end):
                 out.append((at, end, w))
             at = t.find(w, end)
     return sorted(out)
 
 
 def _name_spans(t: str, sides: Sides, words: list[str]) -> list[tuple[int, int, str]]:
-    """Names by looking only around surnames of the vocabulary; same rules as SHAPES."""
-    hits = {w for w in set(words) if sides[w] == "surname"}
+    """Names by looking only around surnames of the vocabulary; same rules as SHAPES.  ``words``: the chunks of the text."""
+    hits = {w for w in {c if c.isalpha() else first_word(c) for c in set(words)} if sides[w] == "surname"}
     if not hits:
         return []
     out = []
@@ -403,13 +468,13 @@ def _name_spans(t: str, sides: Sides, words: list[str]) -> list[tuple[int, int,
             if GAP_COMMA.match(t, b, c) or GAP_PAIR.match(t, b, c):
                 start, end = a, d
         if start is None:
-            head = t[max(0, a - 8) : a]
+            head = t[max(0, a - 40) : a]
             if m := INITIAL_BEFORE.search(head):
                 start, end = a - len(head) + m.start(), b
             elif m := INITIAL_AFTER.match(t, b):
                 start, end = a, m.end()
         if start is not None and not NAMED_THING.match(t, end):
-            out.append((start, end, "name"))
+            out.append((start, without_possessive(t, end), "name"))
     return out
 
 
@@ -478,7 +543,7 @@ def joined_mentions(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 t, at = visible(text)
                 place = at or range(len(t) + 1)
                 fixed = shaped_spans(t)
-                out += [(tab, i, kind, place[a] + 1, place[b], "", "", "", "", 0, 0, False) for a, b, kind in fixed]
+                out += [(tab, i, kind, place[a] + 1, place[b], shaped_term(kind, t[a:b]), "public", "", "", 0, 0, False) for a, b, kind in fixed]
                 out += [
                     (tab, i, "name", place[a] + 1, place[b], k1, s1, k2, s2, at_surname, rank, void)
                     for a, b, k1, s1, k2, s2, at_surname, rank, void in _candidates(t, likely, fixed)
@@ -502,7 +567,8 @@ def joined_mentions(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     resolve = F.pandas_udf(kept, "array<struct<start_pos:long,end_pos:long>>")
     texts = named.groupBy("tab", "rec_id").agg(F.collect_set(F.struct("surname_at", "rank", "start_pos", "end_pos", "void")).alias("readings"))
     named = texts.select("tab", "rec_id", F.lit("name").alias("kind"), F.explode(resolve("readings")).alias("x")).select("tab", "rec_id", "kind", "x.*")
-    return wide.where("kind <> 'name'").select(cols).unionByName(named.select(cols))
+    shaped = wide.where("kind <> 'name'").join(v.where("side = 'public'").select(F.col("term").alias("k1")), "k1", "left_anti")
+    return shaped.select(cols).unionByName(named.select(cols))
 
 
 def redact(texts: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:

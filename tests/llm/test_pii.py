@@ -18,6 +18,8 @@ from switchback.llm import pii
     ("Send to Flat 5, 1832 Yarartuk Pkwy, Lumasha", "address", "Flat 5, 1832 Yarartuk Pkwy"),
     ("Ship to: P.O. Box 2337, Wynespen", "address", "P.O. Box 2337"),
     ("i live at six one seven corinner street", "address", "six one seven corinner street"),
+    ("Hi. It was FINE, so we left the keys at 42 old maple road for you", "address", "42 old maple road"),
+    ("A Long Start of a Text with Capitals. leave it at six one corinner lane", "address", "six one corinner lane"),
     ("My SSN is 919 48 8772.", "id_number", "919 48 8772"),
     ("National insurance QQ 34 29 64 A.", "id_number", "QQ 34 29 64 A"),
     ("Passport no. Y68K74966", "id_number", "Y68K74966"),
@@ -30,7 +32,7 @@ def test_shapes(text, kind, mention):
 
 @pytest.mark.parametrize("text", [
     "The part number 4415-555-30 belongs to the tarp.", "Tracking WPX-2027-580752 still says pending.", "Elevation 6,827, bearing 860, pace 11.",
-    "Grid reference 45.1234, -110.5678 puts it there", "Radio check was on 151.4000 MHz at noon", "date: 2024-08-12", "worth the 19 hour drive", "@trail_otter_15 posted",
+    "Grid reference 45.1234, -110.5678 puts it there", "Radio check was on 151.4000 MHz at noon", "date: 2024-08-12", "worth the 19 hour drive", "worth the 8 rocky drive", "@trail_otter_15 posted",
     "", " ", "\n",
 ])
 def test_things_are_no_mentions(text):
@@ -90,3 +92,36 @@ def test_invisible_signs_keep_positions():
     text = "a​b Cyra Cor​vel"
     spans = pii.spans_of(text, pii.Sides({"cyra": "given", "corvel": "surname"}))
     assert [(text[a:b], k) for a, b, k in spans] == [("Cyra Cor​vel", "name")]
+
+
+def test_a_number_that_stands_beside_many_names_reveals_nobody(spark):
+    given, sur = ["Ann", "Cyra", "Lio", "Tam"], ["Bellock", "Corvel", "Dastin", "Emrow"]
+    mails = [("t", f"m{i}", f"{a} {b} <{a}.{b}@mail.example> wrote.") for i, (a, b) in enumerate((a, b) for a in given for b in sur)]
+    office = [("t", f"o{i}", f"{given[i % 4]} {sur[i // 4]} said to call 531-555-0100 for a permit.") for i in range(16)]
+    own = [("t", f"p{i}", "Lio Dastin may be reached at 531-555-0199.") for i in range(16)]
+    df = table(spark, [*mails, *office, *own])
+    for bound in (pii.MAX_TERMS, 0):
+        found = pii.find_mentions(df, bound).where("kind = 'phone'").collect()
+        assert {r.rec_id for r in found} == {f"p{i}" for i in range(16)}
+    clean = {r.rec_id: r.clean_text for r in pii.redact(df).collect()}
+    assert clean["o3"] == "[NAME] said to call 531-555-0100 for a permit." and clean["p3"] == "[NAME] may be reached at [PHONE]."
+    public = [r for r in pii.protected_terms(df).collect() if r.side == "public"]
+    assert [(r.term, r.disclosure) for r in public] == [("phone:5315550100", 1 / 16)]
+
+
+def test_words_are_learned_in_turn_until_none_is_added(spark):
+    # each surname is known through the given name before it, each given name through the surname after it
+    chain = ["Abel Bartok", "Cora Bartok", "Cora Dunlin", "Edda Dunlin", "Edda Fulmar", "Gil Fulmar", "Gil Harrow", "Ida Harrow", "Ida Jo", "Li Jo"]
+    rows = [("t", "0", "a.bartok@mail.example")] + [("t", str(i), f"It was {x}.") for i, x in enumerate(chain, 1)]
+    got = {r.rec_id for r in pii.find_mentions(table(spark, rows)).where("kind = 'name'").collect()}
+    assert got == {str(i) for i in range(1, len(chain) + 1)}
+
+
+def test_both_ways_agree_on_random_name_texts(spark):
+    import random
+
+    rng = random.Random(12)
+    parts = ["Ann", "Cyra", "Bellock", "Corvel", "corvel", "ann", ",", ", ", "and", "C.", "A. ", "Bellock-Corvel", "Memorial", "'s", "\n> ", "of", "BELLOCK"]
+    rows = [*ROWS, *[("t", f"x{i}", " ".join(rng.choice(parts) for _ in range(14))) for i in range(400)]]
+    found = [sorted((r.rec_id, r.kind, r.start_pos, r.end_pos) for r in pii.find_mentions(table(spark, rows), bound).collect()) for bound in (pii.MAX_TERMS, 0)]
+    assert found[0] == found[1]
