@@ -50,9 +50,6 @@ WORD = r"[^\W\d_](?:[\w'’]|-(?=[^\W\d_]))*"
 TITLE = rf"(?:(?={CAP}){WORD})"
 PAIR = re.compile(rf"\b({TITLE})(?=\s+({TITLE}))")
 WORDS = re.compile(rf"(?<![\w'’-]){WORD}")
-#: Runs that begin with a word or hold none: much faster to find than the words themselves.
-CHUNK = re.compile(r"[\w'’-]+")
-_WORD = re.compile(WORD)
 
 # fixed values: separators and spoken forms of e-mail addresses
 DOT = r"(?:\s*[\(\[{]\s*dot\s*[\)\]}]\s*|\s+dot\s+|\.)"
@@ -74,7 +71,7 @@ PHONE = re.compile(
 )
 DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 SPOKEN_DIGITS = re.compile(rf"\b(?:plus\s+)?{DIGIT_WORD}(?:[\s,-]+(?:double\s+|triple\s+)?{DIGIT_WORD})+\b", re.I)
-DIGIT_WORDS = frozenset(w for d in "zero oh one two three four five six seven eight nine".split() for w in (d, d.upper(), d.title()))
+DIGITS = frozenset("zero oh one two three four five six seven eight nine".split())
 
 # fixed values: street words
 STREET = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Court|Ct|Close|Way|Parkway|Pkwy|Drive|Dr|Place|Pl|Terrace|Square|Row|Crescent|Highway|Hwy|Circle"
@@ -94,7 +91,7 @@ _LOOSE = rf"\s+(?:[nsew]\.?\s+|north\s+|south\s+|east\s+|west\s+)?(?:old\s+|new\
 #: Street addresses in any case: with a number in digits, and with one in words.
 ADDRESS_LOOSE = re.compile(rf"\d{{1,5}}(?:-?[a-z])?{_LOOSE}", re.I)
 ADDRESS_SPOKEN = re.compile(rf"(?<![\w.,#/-])(?:{UNIT})?{DIGIT_WORD}(?:\s+{DIGIT_WORD})*{_LOOSE}", re.I)
-STREET_WORDS = frozenset(w for x in STREET.split("|") for w in (x, x.lower(), x.upper()))
+STREET_WORD = re.compile(rf"\b(?:{STREET})\b", re.I)
 PO_BOX = re.compile(r"\bP\.?\s?O\.?\s+Box\s+(?:\d+|" + DIGIT_WORD + r")|\bpost\s+office\s+box\s+(?:\d+|" + DIGIT_WORD + ")", re.I)
 SSN = re.compile(r"(?<![\w–—-])(?<![\d][ .])(?:\d{3}([ -–—.]?)\d{2}\1\d{4})(?![\w–—]|-\w|[ .]\d)")
 ID_LETTERS = re.compile(
@@ -121,15 +118,25 @@ def term(word: str) -> str:
 
 def visible(text: str) -> tuple[str, list[int] | None]:
     """The text without invisible and combining signs, and each character's place (None: unchanged)."""
-    if not INVISIBLE.search(text):
+    if text.isascii() or not INVISIBLE.search(text):
         return text, None
     at = [i for i, c in enumerate(text) if not INVISIBLE.match(c)]
     return "".join(text[i] for i in at), [*at, len(text)]
 
 
-def says_digits(words: list[str]) -> bool:
-    """Whether three digits in a row are spelled out."""
-    return not DIGIT_WORDS.isdisjoint(words) and "111" in "".join(["1" if w in DIGIT_WORDS else "0" for w in words])
+class Tokens(dict):
+    """Of each token (between white space), kept: the spelled digits if it holds nothing else (``1`` each), ``s`` if there is a street word, ``0`` otherwise."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        words = WORDS.findall(token.lower())
+        digits = sum(w in DIGITS for w in words)
+        self[token] = kind = "1" * digits if digits and digits == len(words) else "s" if STREET_WORD.search(token) else "0"
+        return kind
+
+
+TOKENS = Tokens()
 
 
 def spells_address(t: str) -> bool:
@@ -138,10 +145,11 @@ def spells_address(t: str) -> bool:
     return ("dot" in low or "at)" in low or "at]" in low or "at}" in low) and SPOKEN_HINT.search(t) is not None
 
 
-def shaped_spans(t: str, words: list[str] | None = None) -> list[tuple[int, int, str]]:
-    """Mentions that have a fixed shape, as (start, end, kind), not overlapping; ``words``: the chunks of the text."""
+def shaped_spans(t: str, tokens: list[str] | None = None) -> list[tuple[int, int, str]]:
+    """Mentions that have a fixed shape, as (start, end, kind), not overlapping; ``tokens``: the text split at white space."""
     found: list[tuple[int, int, str]] = []
-    words = CHUNK.findall(t) if words is None else words
+    kinds = [TOKENS[x] for x in (t.split() if tokens is None else tokens)]
+    some = set(kinds)
 
     def add(a: int, b: int, kind: str) -> None:
         if b > a and not any(a < y and x < b for x, y, _ in found):
@@ -155,15 +163,16 @@ def shaped_spans(t: str, words: list[str] | None = None) -> list[tuple[int, int,
             add(m.start(), m.end(), "email")
     for m in PO_BOX.finditer(t) if "ox " in t or "OX " in t else ():
         add(m.start(), m.end(), "address")
-    spoken = says_digits(words)
-    for shape in (ADDRESS, ADDRESS_LOOSE):
+    digits = not some <= {"0", "s"}
+    spoken = digits and "111" in "".join(kinds)
+    for shape in (ADDRESS, ADDRESS_LOOSE) if "s" in some else ():
         for m in shape.finditer(t):
             head = t[max(0, m.start() - 24) : m.start()]
             if unit := BEFORE_NUMBER.search(head):
                 add(m.start() - len(head) + unit.start(), m.end(), "address")
             elif not RUNS_ON.search(head) and not ARTICLE.search(head):
                 add(m.start(), m.end(), "address")
-    if spoken or not (DIGIT_WORDS.isdisjoint(words) or STREET_WORDS.isdisjoint(words)):
+    if spoken or (digits and "s" in some):
         for m in ADDRESS_SPOKEN.finditer(t):
             add(m.start(), m.end(), "address")
     if LETTER_HINT.search(t):
@@ -196,31 +205,42 @@ def local_terms(address: str) -> list[str]:
     return [term(x) for x in re.split(r"[._\-\s\(\)\[\]]+|\bdot\b|\bunderscore\b", local) if len(x) > 1 and x.isalpha()]
 
 
+EVIDENCE = "what string, a string, b string, n long, tab string, rec_id string, start_pos long, end_pos long"
+
+
 def evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of one task: pairs ``p``, e-mail terms ``e``, lower-case words ``l``, shaped terms with the nearest pair ``s``."""
+    """Counts of one task: pairs ``p``, e-mail terms ``e``, lower-case words ``l``, shaped terms with the nearest pair ``s``; and places of shaped terms ``x``."""
     pairs: Counter = Counter()
     inside: Counter = Counter()
-    lower: Counter = Counter()
+    tokens: Counter = Counter()
     shaped: Counter = Counter()
+    places: list[tuple] = []
+    none = (None, None, None, None)
 
     def out() -> pd.DataFrame:
-        rows = [("p", term(a), term(b), n) for (a, b), n in pairs.items()] + [("e", a, "", n) for a, n in inside.items()]
-        rows += [("l", term(a), "", n) for a, n in lower.items() if a.isalpha() and a[0].islower()] + [("s", a, b, n) for (a, b), n in shaped.items()]
-        for c in (pairs, inside, lower, shaped):
+        lower: Counter = Counter()
+        for x, n in tokens.items():
+            if x.islower():
+                for w in (x,) if x.isalpha() else WORDS.findall(x):
+                    if w.isalpha() and w[0].islower():
+                        lower[w] += n
+        rows = [("p", term(a), term(b), n, *none) for (a, b), n in pairs.items()] + [("e", a, "", n, *none) for a, n in inside.items()]
+        rows += [("l", term(a), "", n, *none) for a, n in lower.items()] + [("s", a, b, n, *none) for (a, b), n in shaped.items()] + places
+        for c in (pairs, inside, tokens, shaped, places):
             c.clear()
-        return pd.DataFrame(rows, columns=["what", "a", "b", "n"])
+        return pd.DataFrame(rows, columns=["what", "a", "b", "n", "tab", "rec_id", "start_pos", "end_pos"]).astype({"start_pos": "Int64", "end_pos": "Int64"})
 
     for frame in frames:
-        for text in frame["text"]:
+        for tab, i, text in zip(frame["tab"], frame["rec_id"], frame["text"]):
             if not text:
                 continue
-            t = visible(text)[0]
-            words = CHUNK.findall(t)
+            t, at = visible(text)
+            words = t.split()
             if not t.islower():
                 raw = PAIR.findall(t)
                 if raw:
                     pairs.update(raw)
-                lower.update(words)
+                tokens.update(words)
             spans = shaped_spans(t, words)
             if not spans:
                 continue
@@ -228,12 +248,23 @@ def evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a, b, kind in spans:
                 if kind == "email":
                     inside.update(local_terms(t[a:b]))
-                shaped[shaped_term(kind, t[a:b]), min(near, key=lambda x: abs(x[0] - a), default=(0, ""))[1]] += 1
-        if len(pairs) + len(lower) + len(shaped) > FLUSH:
+                shape = shaped_term(kind, t[a:b])
+                shaped[shape, min(near, key=lambda x: abs(x[0] - a), default=(0, ""))[1]] += 1
+                if i is not None:
+                    places.append(("x", shape, "", 1, tab, i, (at[a] if at else a) + 1, at[b] if at else b))
+        if len(pairs) + len(tokens) + len(shaped) + len(places) > FLUSH:
             yield out()
     yield out()
 
 
+def evidence_of(texts: DataFrame) -> DataFrame:
+    """The evidence of all texts ``(tab, rec_id, text)``, added up and written down; places of repeated rows count once."""
+    from switchback.plans.lineage import written
+
+    found = texts.select("tab", "rec_id", "text").mapInPandas(evidence, EVIDENCE)
+    return written(found.groupBy("what", "a", "b", "tab", "rec_id", "start_pos", "end_pos").agg(F.sum("n").alias("n")), "evidence")
+
+
 def public_terms(counts: DataFrame, min_shaped: float = MIN_SHAPED) -> DataFrame:
     """Shaped terms ``(term, side, disclosure, bits)`` that reveal nobody; side is ``public``.
 
@@ -245,14 +276,13 @@ def public_terms(counts: DataFrame, min_shaped: float = MIN_SHAPED) -> DataFrame
     return by.where(share < min_shaped).select(F.col("a").alias("term"), F.lit("public").alias("side"), share.alias("disclosure"), F.log2(share).alias("bits"))
 
 
-def protected_terms(texts: DataFrame, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
+def protected_terms(counts: DataFrame, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
     """Vocabulary ``(term, side, disclosure, bits)``; side is ``given``, ``surname`` or, of shaped terms that are left, ``public``.
 
     Everything after the first pass works on counts by term, aggregated before the shuffle.
     """
     from switchback.plans.lineage import forget, written
 
-    counts = written(texts.select("text").mapInPandas(evidence, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")), "terms")
     pairs = counts.where("what = 'p'").select("a", "b", "n")
     inside = counts.where("what = 'e'").select(F.col("a").alias("term"), "n")
     # lower-case uses outside addresses: what an address holds is counted there already
@@ -352,7 +382,7 @@ class Likely(dict):
 READINGS = [(2, 0), (1, 1), (1, 1), (2, 2), (1, 3)]
 
 
-def _candidates(t: str, likely: Likely, fixed: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str, str, str, int, int, bool]]:
+def _candidates(t: str, likely: Likely) -> list[tuple[int, int, str, str, str, str, int, int, bool]]:
     """Name-shaped pairs as (start, end, term, its side, other term, its side, place of the surname, rank, whether it is no mention after all), a row for each form of a hyphenated word."""
     out = []
     for k, (pattern, s1, s2) in enumerate(SHAPES):
@@ -363,7 +393,6 @@ def _candidates(t: str, likely: Likely, fixed: list[tuple[int, int, str]]) -> li
                 start, end = m.start(1), m.end(2) + (k == 4)
                 void = NAMED_THING.match(t, end) is not None
                 end = without_possessive(t, end)
-                void = void or any(start < y and x < end for x, y, _ in fixed)
                 out += [(start, end, a, s1, b, s2, m.start(surname), rank, void) for a in one for b in two]
     return out
 
@@ -389,10 +418,9 @@ def _first_cover(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]
 def spans_of(text: str, sides: Sides) -> list[tuple[int, int, str]]:
     """All mentions of a text with places in the text as given (0-based, end exclusive)."""
     t, at = visible(text)
-    words = CHUNK.findall(t)
+    words = t.split()
     found = shaped_spans(t, words)
-    names = _name_spans(t, sides, words)
-    names = [n for n in names if not any(n[0] < y and x < n[1] for x, y, _ in found)]
+    names = [(start, end, "name") for _, start, end in _name_spans(t, sides, words) if not any(start < y and x < end for x, y, _ in found)]
     spans = sorted([x for x in found if shaped_term(x[2], t[x[0] : x[1]]) not in sides.vocabulary] + _first_cover(names))
     return spans if at is None else [(at[a], at[b], kind) for a, b, kind in spans]
 
@@ -403,6 +431,7 @@ class Sides(dict):
     def __init__(self, vocabulary: dict[str, str]):
         super().__init__()
         self.vocabulary = vocabulary
+        self.surnames = Surnames(self)
 
     def __missing__(self, word: str) -> str:
         if len(self) > 500_000:
@@ -412,11 +441,18 @@ class Sides(dict):
         return own
 
 
-@lru_cache(maxsize=200_000)
-def first_word(chunk: str) -> str:
-    """The word that a chunk begins with, or nothing."""
-    m = _WORD.match(chunk)
-    return m[0] if m else ""
+class Surnames(dict):
+    """The words of each token that are surnames."""
+
+    def __init__(self, sides: Sides):
+        super().__init__()
+        self.sides = sides
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = found = tuple(w for w in WORDS.findall(token) if self.sides[w] == "surname")
+        return found
 
 
 GAP_PAIR = re.compile(r"\s+(?:>\s*)?(?:[^\W\d_]\.?\s+|[^\W\d_]\.\s*)?\Z")
@@ -446,9 +482,10 @@ def _occurrences(t: str, words: set[str]) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def _name_spans(t: str, sides: Sides, words: list[str]) -> list[tuple[int, int, str]]:
-    """Names by looking only around surnames of the vocabulary; same rules as SHAPES.  ``words``: the chunks of the text."""
-    hits = {w for w in {c if c.isalpha() else first_word(c) for c in set(words)} if sides[w] == "surname"}
+def _name_spans(t: str, sides: Sides, tokens: list[str]) -> list[tuple[int, int, int]]:
+    """Names (place of the surname, start, end) by looking only around surnames of the vocabulary; same rules as SHAPES."""
+    known = sides.surnames
+    hits = {w for x in set(tokens) for w in known[x]}
     if not hits:
         return []
     out = []
@@ -474,7 +511,7 @@ def _name_spans(t: str, sides: Sides, words: list[str]) -> list[tuple[int, int,
             elif m := INITIAL_AFTER.match(t, b):
                 start, end = a, m.end()
         if start is not None and not NAMED_THING.match(t, end):
-            out.append((start, without_possessive(t, end), "name"))
+            out.append((a, start, without_possessive(t, end)))
     return out
 
 
@@ -492,13 +529,6 @@ def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 MENTION = "tab string, rec_id string, kind string, start_pos long, end_pos long"
 
 
-def vocabulary_of(texts: DataFrame, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
-    """The protected vocabulary of all texts, written down."""
-    from switchback.plans.lineage import written
-
-    return written(protected_terms(texts, min_disclosure), "vocabulary")
-
-
 def shared_sides(vocabulary: DataFrame, max_terms: int = MAX_TERMS):
     """The vocabulary as a broadcast, if its size allows one."""
     if vocabulary.count() > max_terms:
@@ -513,26 +543,39 @@ def find_mentions(texts: DataFrame, max_terms: int = MAX_TERMS, min_disclosure:
     mention once; other columns of the input are ignored; an empty table gives an empty result.  Positions
     count code points from 1, ``end_pos`` is the last one.  A text of any length is scanned whole.
     """
-    vocabulary = vocabulary_of(texts, min_disclosure)
+    from switchback.plans.lineage import written
+
+    counts = evidence_of(texts)
+    vocabulary = written(protected_terms(counts, min_disclosure), "vocabulary")
     sides = shared_sides(vocabulary, max_terms)
     rows = texts.select("tab", "rec_id", "text").where("text is not null and rec_id is not null")
-    return (joined_mentions(rows, vocabulary) if sides is None else scanned_mentions(rows, sides)).distinct()
+    named = joined_readings(rows, vocabulary) if sides is None else scanned_readings(rows, sides)
+    shaped = counts.where("what = 'x'").select("tab", "rec_id", F.substring_index("a", ":", 1).alias("kind"), "start_pos", "end_pos", F.col("a").alias("term"))
+    left = shaped.join(vocabulary.where("side = 'public'").select("term"), "term", "left_anti")
+    return left.select("tab", "rec_id", "kind", "start_pos", "end_pos").unionByName(chosen_names(named, shaped))
+
 
+READING = "tab string, rec_id string, surname_at long, rank int, start_pos long, end_pos long, void boolean"
 
-def scanned_mentions(rows: DataFrame, sides) -> DataFrame:
-    """Mentions with a broadcast vocabulary: one scan, no shuffle."""
+
+def scanned_readings(rows: DataFrame, sides) -> DataFrame:
+    """Readings of names with a broadcast vocabulary: one of each surname."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Sides(sides.value)
         for f in frames:
-            found = [(tab, i, kind, a + 1, b) for tab, i, t in zip(f["tab"], f["rec_id"], f["text"]) for a, b, kind in spans_of(t, known)]
-            yield pd.DataFrame(found, columns=["tab", "rec_id", "kind", "start_pos", "end_pos"])
+            out = []
+            for tab, i, text in zip(f["tab"], f["rec_id"], f["text"]):
+                t, at = visible(text)
+                for place, a, b in _name_spans(t, known, t.split()):
+                    out.append((tab, i, place, 0, (at[a] if at else a) + 1, at[b] if at else b, False))
+            yield pd.DataFrame(out, columns=["tab", "rec_id", "surname_at", "rank", "start_pos", "end_pos", "void"])
 
-    return rows.mapInPandas(scan, MENTION)
+    return rows.mapInPandas(scan, READING)
 
 
-def joined_mentions(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Mentions with a vocabulary of any size: name-shaped pairs that a bitmap of fixed size lets through are joined with it."""
+def joined_readings(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Readings of names with a vocabulary of any size: name-shaped pairs that a bitmap of fixed size lets through are joined with it."""
     bits = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap_of(vocabulary)))
 
     def shaped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -542,33 +585,32 @@ def joined_mentions(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
             for tab, i, text in zip(f["tab"], f["rec_id"], f["text"]):
                 t, at = visible(text)
                 place = at or range(len(t) + 1)
-                fixed = shaped_spans(t)
-                out += [(tab, i, kind, place[a] + 1, place[b], shaped_term(kind, t[a:b]), "public", "", "", 0, 0, False) for a, b, kind in fixed]
-                out += [
-                    (tab, i, "name", place[a] + 1, place[b], k1, s1, k2, s2, at_surname, rank, void)
-                    for a, b, k1, s1, k2, s2, at_surname, rank, void in _candidates(t, likely, fixed)
-                ]
-            yield pd.DataFrame(out, columns=["tab", "rec_id", "kind", "start_pos", "end_pos", "k1", "s1", "k2", "s2", "surname_at", "rank", "void"])
-
-    wide = rows.mapInPandas(shaped, MENTION + ", k1 string, s1 string, k2 string, s2 string, surname_at long, rank int, void boolean")
+                out += [(tab, i, k1, s1, k2, s2, at_surname, rank, place[a] + 1, place[b], void) for a, b, k1, s1, k2, s2, at_surname, rank, void in _candidates(t, likely)]
+            yield pd.DataFrame(out, columns=["tab", "rec_id", "k1", "s1", "k2", "s2", "surname_at", "rank", "start_pos", "end_pos", "void"])
+
+    wide = rows.mapInPandas(shaped, READING + ", k1 string, s1 string, k2 string, s2 string")
     v = vocabulary.select("term", "side")
     one, two = v.toDF("k1", "s1").withColumn("ok1", F.lit(True)), v.toDF("k2", "s2").withColumn("ok2", F.lit(True))
-    named = wide.where("kind = 'name'").join(one, ["k1", "s1"], "left").join(two, ["k2", "s2"], "left").where("(s1 = '' or ok1) and (s2 = '' or ok2)")
-    cols = ["tab", "rec_id", "kind", "start_pos", "end_pos"]
+    return wide.join(one, ["k1", "s1"], "left").join(two, ["k2", "s2"], "left").where("(s1 = '' or ok1) and (s2 = '' or ok2)")
 
-    def kept(readings):
-        return pd.Series([
-            [{"start_pos": a, "end_pos": b - 1} for a, b, _ in _chosen([(r["surname_at"], r["rank"], r["start_pos"], r["end_pos"] + 1, r["void"]) for r in x])]
-            for x in readings
-        ], dtype=object)
 
-    # the same choice as with a broadcast: one reading a surname, overlaps from left to right against the last one kept
-    kept.__annotations__ = {"readings": pd.Series, "return": pd.Series}
+def chosen_names(named: DataFrame, shaped: DataFrame) -> DataFrame:
+    """Names among the readings of each text: one of each surname, none that overlaps a shaped term, then from left to right."""
+
+    def kept(readings, spans):
+        out = []
+        for x, fixed in zip(readings, spans):
+            fixed = [] if fixed is None else [(s["start_pos"], s["end_pos"] + 1) for s in fixed]
+            said = [(r["surname_at"], r["rank"], r["start_pos"], r["end_pos"] + 1, r["void"] or any(r["start_pos"] < y and z <= r["end_pos"] for z, y in fixed)) for r in x]
+            out.append([{"start_pos": a, "end_pos": b - 1} for a, b, _ in _chosen(said)])
+        return pd.Series(out, dtype=object)
+
+    kept.__annotations__ = {"readings": pd.Series, "spans": pd.Series, "return": pd.Series}
     resolve = F.pandas_udf(kept, "array<struct<start_pos:long,end_pos:long>>")
     texts = named.groupBy("tab", "rec_id").agg(F.collect_set(F.struct("surname_at", "rank", "start_pos", "end_pos", "void")).alias("readings"))
-    named = texts.select("tab", "rec_id", F.lit("name").alias("kind"), F.explode(resolve("readings")).alias("x")).select("tab", "rec_id", "kind", "x.*")
-    shaped = wide.where("kind <> 'name'").join(v.where("side = 'public'").select(F.col("term").alias("k1")), "k1", "left_anti")
-    return shaped.select(cols).unionByName(named.select(cols))
+    beside = shaped.groupBy("tab", "rec_id").agg(F.collect_list(F.struct("start_pos", "end_pos")).alias("spans"))
+    both = texts.join(beside, ["tab", "rec_id"], "left")
+    return both.select("tab", "rec_id", F.lit("name").alias("kind"), F.explode(resolve("readings", "spans")).alias("x")).select("tab", "rec_id", "kind", "x.*")
 
 
 def redact(texts: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -580,8 +622,9 @@ def redact(texts: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     from switchback.plans.lineage import written
 
     texts = texts.drop("clean_text")
-    vocabulary = vocabulary_of(texts)
-    sides = shared_sides(vocabulary, max_terms)
+    sides = None
+    if max_terms > 0:
+        sides = shared_sides(written(protected_terms(evidence_of(texts.select("text", F.lit("").alias("tab"), F.lit(None).cast("string").alias("rec_id")))), "vocabulary"), max_terms)
     if sides is not None:
 
         def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -593,7 +636,7 @@ def redact(texts: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
         return texts.withColumn("clean_text", F.pandas_udf(clean, "string")("text"))
 
     rows = written(texts.withColumn("_row", F.monotonically_increasing_id().cast("string")), "rows")
-    found = joined_mentions(rows.select(F.lit("").alias("tab"), F.col("_row").alias("rec_id"), "text").where("text is not null"), vocabulary)
+    found = find_mentions(rows.select(F.lit("").alias("tab"), F.col("_row").alias("rec_id"), "text"), 0)
     spans = found.groupBy(F.col("rec_id").alias("_row")).agg(F.sort_array(F.collect_set(F.struct("start_pos", "end_pos", "kind"))).alias("_spans"))
 
     def fill(spans: pd.Series, text: pd.Series) -> pd.Series:

@@ -105,7 +105,7 @@ def test_a_number_that_stands_beside_many_names_reveals_nobody(spark):
         assert {r.rec_id for r in found} == {f"p{i}" for i in range(16)}
     clean = {r.rec_id: r.clean_text for r in pii.redact(df).collect()}
     assert clean["o3"] == "[NAME] said to call 531-555-0100 for a permit." and clean["p3"] == "[NAME] may be reached at [PHONE]."
-    public = [r for r in pii.protected_terms(df).collect() if r.side == "public"]
+    public = [r for r in pii.protected_terms(pii.evidence_of(df)).collect() if r.side == "public"]
     assert [(r.term, r.disclosure) for r in public] == [("phone:5315550100", 1 / 16)]
 
 
