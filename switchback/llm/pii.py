@@ -125,18 +125,25 @@ def visible(text: str) -> tuple[str, list[int] | None]:
 
 
 class Tokens(dict):
-    """Of each token (between white space), kept: the spelled digits if it holds nothing else (``1`` each), ``s`` if there is a street word, ``0`` otherwise."""
+    """What each token (between white space) holds, kept: ``1`` for each spelled digit if nothing else, else ``d`` digits and ``s`` a street word, ``b`` a box, ``0`` none of these."""
 
     def __missing__(self, token: str) -> str:
         if len(self) > 500_000:
             self.clear()
         words = WORDS.findall(token.lower())
         digits = sum(w in DIGITS for w in words)
-        self[token] = kind = "1" * digits if digits and digits == len(words) else "s" if STREET_WORD.search(token) else "0"
+        if digits and digits == len(words):
+            kind = "1" * digits
+        else:
+            kind = "d" * any(map(str.isdigit, token)) + "s" * (STREET_WORD.search(token) is not None) + "b" * ("box" in words)
+        self[token] = kind = kind or "0"
         return kind
 
 
 TOKENS = Tokens()
+#: In the kinds of a text's tokens: where an address in digits or in words may be (at most seven tokens before the street word).
+MAY_ADDRESS = re.compile("d.{0,8}s")
+MAY_SPOKEN = re.compile("1.{0,8}s")
 
 
 def spells_address(t: str) -> bool:
@@ -148,8 +155,7 @@ def spells_address(t: str) -> bool:
 def shaped_spans(t: str, tokens: list[str] | None = None) -> list[tuple[int, int, str]]:
     """Mentions that have a fixed shape, as (start, end, kind), not overlapping; ``tokens``: the text split at white space."""
     found: list[tuple[int, int, str]] = []
-    kinds = [TOKENS[x] for x in (t.split() if tokens is None else tokens)]
-    some = set(kinds)
+    kinds = "".join(map(TOKENS.__getitem__, t.split() if tokens is None else tokens))
 
     def add(a: int, b: int, kind: str) -> None:
         if b > a and not any(a < y and x < b for x, y, _ in found):
@@ -161,25 +167,24 @@ def shaped_spans(t: str, tokens: list[str] | None = None) -> list[tuple[int, int
     if spells_address(t):
         for m in EMAIL_SPOKEN.finditer(t):
             add(m.start(), m.end(), "email")
-    for m in PO_BOX.finditer(t) if "ox " in t or "OX " in t else ():
+    for m in PO_BOX.finditer(t) if "b" in kinds else ():
         add(m.start(), m.end(), "address")
-    digits = not some <= {"0", "s"}
-    spoken = digits and "111" in "".join(kinds)
-    for shape in (ADDRESS, ADDRESS_LOOSE) if "s" in some else ():
+    spoken = "111" in kinds
+    for shape in (ADDRESS, ADDRESS_LOOSE) if MAY_ADDRESS.search(kinds) else ():
         for m in shape.finditer(t):
             head = t[max(0, m.start() - 24) : m.start()]
             if unit := BEFORE_NUMBER.search(head):
                 add(m.start() - len(head) + unit.start(), m.end(), "address")
             elif not RUNS_ON.search(head) and not ARTICLE.search(head):
                 add(m.start(), m.end(), "address")
-    if spoken or (digits and "s" in some):
+    if MAY_SPOKEN.search(kinds):
         for m in ADDRESS_SPOKEN.finditer(t):
             add(m.start(), m.end(), "address")
-    if LETTER_HINT.search(t):
+    if "d" in kinds and LETTER_HINT.search(t):
         for m in ID_LETTERS.finditer(t):
             if not THING.search(t, max(0, m.start() - 40), m.start()):
                 add(m.start(), m.end(), "id_number")
-    runs = [(max(0, m.start() - 4), m.end() + 4) for m in NUMBER_RUN.finditer(t)]
+    runs = [(max(0, m.start() - 4), m.end() + 4) for m in NUMBER_RUN.finditer(t)] if "d" in kinds else []
     for kind, shape in (("phone", PHONE), ("id_number", SSN)) if runs else ():
         for lo, hi in runs:
             for m in shape.finditer(t, lo, hi):
