@@ -63,6 +63,22 @@ def test_clusters(spark):
     assert clusters.clustered(df.limit(0)).count() == 0
 
 
+def test_a_slip_between_two_places_joins_one_of_them(spark):
+    names = {1: ("dunendale", 9, "48"), 2: ("dunedale", 6, "112"), 3: ("dunendal", 1, None), 4: ("dunnedale", 1, "112"), 5: ("corvala", 2, None), 6: ("corvaal", 1, None), 7: ("belor", 4, "9"), 8: ("bleor", 3, "9"), 9: ("quenda", 4, None), 10: ("quednda", 5, None)}
+    cells = spark.createDataFrame([(k, "t", n, "cove", x, c) for k, (n, c, x) in names.items()], "nid long, trail_id string, name string, form string, number string, n long")
+    got = {tuple(r) for r in clusters.joined_cells(cells).collect()}
+    # 1 and 2 have other numbers; 3 and 4 go to one dense cell each, 6 to the larger of two sparse ones; 7 and 8 agree; 9 and 10 have no number that does
+    assert got == {(1, 3), (2, 4), (5, 6), (7, 8)}
+
+
+def test_places_and_numbers():
+    words = clusters.Words(["cove", "pass", "ridge"])
+    found = lambda t: [(n, f) for _, _, n, f, _ in sorted(clusters.places_of(t, words))]
+    assert found("Beloow Muran Pass, at Corenner Coev. Zemum Pass sdie") == [("corenner", "cove")]
+    assert found("the hanging bridge at Corenner Cove") == [("corenner", "cove"), ("hanging", "ridge")]
+    assert [clusters.number_of(t) for t in ("mile 11.2, 7", "at 112 if", "none", "0.9", "x7 3")] == ["112", "112", None, "9", "3"]
+
+
 # reading level
 def test_isotonic_is_monotone_and_close():
     rng = np.random.default_rng(0)
