@@ -6,8 +6,9 @@ encoded by beam search over the residuals and stored with the squared norm of it
 A query's products with all codewords form a lookup table, so a code is scored by a few
 additions; the best by lookup are ranked again by the exact cosine.
 
-The nearest codeword of the first codebook also names the inverted list of a vector.  Each query
-visits its ``probes`` nearest lists.  Lists are cut into parts and queries into blocks of bounded
+Vectors are kept in inverted lists.  There are about half as many as the root of the number of vectors: centres of a k-means on the
+sample, and beyond ``COARSE`` of these each is divided by residual words, so that the work of a query grows with the
+root of the collection.  Each query visits its ``probes`` nearest lists.  Lists are cut into parts and queries into blocks of bounded
 size, so no task holds an unbounded group, however many vectors are alike.
 """
 
@@ -23,11 +24,15 @@ from pyspark.sql import DataFrame, functions as F
 from switchback.plans.lineage import written
 
 DIM = 64
-BOOKS = 4
+BOOKS = 8
 WORDS = 256
 BEAM = 4
+#: Vectors that fit the codebooks and centres: at least so many, sixteen for each centre, and never more than ``16 * COARSE``.
 SAMPLE = 8_000
-RERANK = 128
+COARSE = 4_096
+PROBES = 20
+#: Members ranked again by the exact cosine in the two nearest lists of a query, the next two, and so on; the last holds for the rest.
+RERANK = (512, 256, 128, 64)
 PART = 4_096
 BLOCK = 8_192
 
@@ -51,9 +56,27 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
 
 @dataclass
 class Quantiser:
-    coarse: np.ndarray  # lists x dim
+    coarse: np.ndarray  # centres x dim
+    parts: np.ndarray  # residual words that divide a centre's list x dim
     books: np.ndarray  # books x words x dim
 
+    def lists(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest lists of each vector, the nearest first."""
+        half, n_parts = 0.5 * (self.coarse * self.coarse).sum(1), len(self.parts)
+        # half the squared distance to centre plus part, up to what all share
+        inner = self.coarse @ self.parts.T + 0.5 * (self.parts * self.parts).sum(1)
+        out = []
+        for lo in range(0, len(x), 2_000):
+            b = x[lo : lo + 2_000]
+            d = half - b @ self.coarse.T
+            m = min(probes, d.shape[1])
+            c = np.argpartition(d, m - 1, axis=1)[:, :m]
+            d = np.take_along_axis(d, c, 1)[:, :, None] + inner[c] - (b @ self.parts.T)[:, None, :]
+            name = (c[:, :, None] * n_parts + np.arange(n_parts)).reshape(len(b), -1)
+            first = np.argsort(d.reshape(len(b), -1), axis=1, kind="stable")[:, :probes]
+            out.append(np.take_along_axis(name, first, 1))
+        return np.concatenate(out).astype(np.int32) if out else np.zeros((0, 1), np.int32)
+
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
@@ -87,7 +110,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[rows, pick], (made * made).sum(1).astype(np.float32)
 
 
-def fit(x: np.ndarray, lists: int, books: int = BOOKS, words: int = WORDS, seed: int = 3) -> Quantiser:
+def fit(x: np.ndarray, lists: tuple[int, int], books: int = BOOKS, words: int = WORDS, seed: int = 3) -> Quantiser:
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     res, cb = x.copy(), []
@@ -102,19 +125,24 @@ def fit(x: np.ndarray, lists: int, books: int = BOOKS, words: int = WORDS, seed:
         hot[np.arange(len(x))[:, None], codes + np.arange(books) * words] = 1
         gram = hot.T @ hot + 0.05 * np.eye(books * words, dtype=np.float32)
         cb = np.linalg.solve(gram, hot.T @ x + 0.05 * cb.reshape(-1, x.shape[1])).reshape(books, words, -1).astype(np.float32)
-    return Quantiser(_kmeans(x, lists, rng), cb)
+    centres, n_parts = lists
+    coarse = _kmeans(x, centres, rng)
+    inside = x - coarse[np.argmax(x @ coarse.T - 0.5 * (coarse * coarse).sum(1), axis=1)]
+    parts = _kmeans(inside, n_parts, rng) if n_parts > 1 else np.zeros((1, x.shape[1]), np.float32)
+    return Quantiser(coarse, parts, cb)
 
 
-def lists_for(n: int) -> int:
-    """About half the root of the number of vectors, 8 to 1,024 lists."""
-    return int(min(1024, max(8, 2 ** round(np.log2(max(n, 1) ** 0.5 / 2)))))
+def lists_for(n: int) -> tuple[int, int]:
+    """Centres, and parts of each: together about half the root of the number of vectors, 8 at least."""
+    every = max(8, 2 ** round(np.log2(max(n, 1) ** 0.5 / 2)))
+    return min(COARSE, every), max(1, every // COARSE)
 
 
 def _matrix(column: pd.Series, dim: int = DIM) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1) if len(column) else np.zeros((0, dim), np.float32)
 
 
-def similar(vectors: DataFrame, k: int = 5, probes: int = 12, rerank: int = RERANK, sample: int = SAMPLE, dim: int = DIM) -> DataFrame:
+def similar(vectors: DataFrame, k: int = 5, probes: int = PROBES, rerank: tuple[int, ...] = RERANK, sample: int = SAMPLE, dim: int = DIM) -> DataFrame:
     """``(id, other, similarity, rank)``: for each id of ``vectors(id, vector)`` its k most similar others.
 
     Ties go to the smaller id.  Unusable vectors are neither asked for nor found; a lone vector has
@@ -123,22 +151,28 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 12, rerank: int = RERA
     spark = vectors.sparkSession
     unit = written(usable(vectors, dim), "unit")
     n = unit.count()
-    drawn = unit.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).select("v").toPandas()
-    made = fit(_matrix(drawn["v"]), min(lists_for(n), max(len(drawn), 1))) if len(drawn) else Quantiser(np.zeros((1, dim), np.float32), np.zeros((BOOKS, WORDS, dim), np.float32))
+    centres, n_parts = lists_for(n)
+    sample = max(sample, 16 * centres)
+    # about twice the sample is sorted, however many vectors there are: those with a small hash
+    h = F.xxhash64("id")
+    part = min(1.0, 2.0 * sample / max(n, 1))
+    few = unit.where(h <= F.lit(min(2**63 - 1, int((part * 2 - 1) * 2**63)))) if part < 1 else unit
+    drawn = few.select("v", h.alias("h")).orderBy("h").limit(sample).select("v").toPandas()
+    zero = np.zeros((1, dim), np.float32)
+    made = fit(_matrix(drawn["v"]), (min(centres, len(drawn)), n_parts)) if len(drawn) else Quantiser(zero, zero, np.zeros((BOOKS, WORDS, dim), np.float32))
     shared = spark.sparkContext.broadcast(made)
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = shared.value
-        half = 0.5 * (q.coarse * q.coarse).sum(1)
         for f in frames:
             if not len(f):
                 continue
             x = _matrix(f["v"])
             codes, norms = encode(x, q.books)
-            near = np.argsort(half - x @ q.coarse.T, axis=1, kind="stable")[:, :probes]
+            near = q.lists(x, probes)
             yield pd.DataFrame({
                 "id": f["id"], "v": f["v"], "code": [r.tobytes() for r in codes], "norm": norms,
-                "list": near[:, 0].astype(np.int32), "near": list(near.astype(np.int32)),
+                "list": near[:, 0], "near": list(near),
             })
 
     coded = written(unit.mapInPandas(encoded, "id string, v binary, code binary, norm float, list int, near array<int>"), "coded")
@@ -150,9 +184,9 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 12, rerank: int = RERA
     members = coded.join(plan, "list").select(
         "list", F.pmod(h, F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v", "code", "norm"
     )
-    again = coded.select(F.col("id").alias("asker"), F.col("v").alias("asked"), F.explode("near").alias("list"))
+    again = coded.select(F.col("id").alias("asker"), F.col("v").alias("asked"), F.posexplode("near").alias("turn", "list"))
     queries = again.join(plan, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("asker"), F.col("blocks")).cast("int").alias("block"), "asker", "asked"
+        "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("asker"), F.col("blocks")).cast("int").alias("block"), "asker", "asked", "turn"
     )
 
     def scan(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
@@ -165,20 +199,21 @@ def similar(vectors: DataFrame, k: int = 5, probes: int = 12, rerank: int = RERA
         x = np.frombuffer(b"".join(own["v"]), np.float32).reshape(len(own), -1)
         code = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1).astype(np.int64)
         norm = own["norm"].to_numpy(np.float32)
-        who = ask["asker"].to_numpy()
+        ask = ask.assign(r=[min(rerank[min(t // 2, len(rerank) - 1)], len(own)) for t in ask["turn"]]).sort_values(["r", "asker"])
+        who, depth = ask["asker"].to_numpy(), ask["r"].to_numpy()
         q = np.frombuffer(b"".join(ask["asked"]), np.float32).reshape(len(ask), -1)
         at = {i: j for j, i in enumerate(ids)}
         me = np.array([at.get(i, -1) for i in who])
         parts = []
-        for lo in range(0, len(q), 512):
-            b, mine = q[lo : lo + 512], me[lo : lo + 512]
+        starts = [x for r in np.unique(depth) for x in range(*np.searchsorted(depth, [r, r + 1]), 512)]
+        for lo, hi in zip(starts, [*starts[1:], len(q)]):
+            b, mine, r = q[lo:hi], me[lo:hi], int(depth[lo])
             score = np.zeros((len(ids), len(b)), np.float32) - 0.5 * norm[:, None]
             for m in range(len(books)):
                 score += (books[m] @ b.T)[code[:, m]]  # the lookup table's rows of the codes
             score = score.T
             hit = np.flatnonzero(mine >= 0)
             score[hit, mine[hit]] = -np.inf
-            r = min(rerank, len(ids))
             top = np.argpartition(-score, r - 1, axis=1)[:, :r]
             exact = np.einsum("qd,qrd->qr", b, x[top], dtype=np.float64)
             exact[top == mine[:, None]] = -np.inf

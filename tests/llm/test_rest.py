@@ -30,6 +30,52 @@ def test_neighbours_against_brute_force(spark):
     assert all(r.id_a < r.id_b for r in pairs)
 
 
+def test_codes_choose_where_lists_are_larger_than_the_rerank(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(60, 64))
+    within = rng.normal(size=(60, 10, 64)) / 10**0.5
+    own = rng.integers(0, 60, 6000)
+    x = (centre[own] + np.einsum("nk,nkd->nd", rng.normal(size=(6000, 10)), within[own])).astype(np.float32)
+    df = spark.createDataFrame([(f"t{i:05d}", r.tolist()) for i, r in enumerate(x)], "id string, vector array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -9)
+    kth = np.sort(sim, axis=1)[:, -5]
+
+    def recall():
+        got = neighbours.similar(df, 5, rerank=(24,)).select("id", "similarity").toPandas()
+        return (got["similarity"] >= kth[got["id"].str[1:].astype(int)] - 1e-5).sum() / (5 * len(x))
+
+    # 32 lists of 190 vectors, of which 24 are ranked exactly
+    assert neighbours.lists_for(6000) == (32, 1)
+    assert recall() > 0.95
+    real = neighbours.fit
+    neighbours.fit = lambda x, lists: _blank(real(x, lists))
+    try:
+        assert recall() < 0.7  # without the codebooks it is chance
+    finally:
+        neighbours.fit = real
+
+
+def _blank(q):
+    q.books[:] = 0
+    return q
+
+
+def test_lists_grow_with_the_root_of_the_collection():
+    for n in (10_000, 10**6, 10**8, 10**10):
+        centres, parts = neighbours.lists_for(n)
+        assert centres <= neighbours.COARSE and 0.3 * n**0.5 <= centres * parts <= 0.75 * n**0.5
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 64)).astype(np.float32)
+    q = neighbours.fit(x, (16, 4), words=16)
+    near = q.lists(x, 6)
+    every = (q.coarse[:, None] + q.parts[None]).reshape(-1, 64)
+    d = ((x[:, None] - every[None]) ** 2).sum(-1)
+    first = np.array([d[i, near[i]] for i in range(len(x))])
+    assert near.shape == (500, 6) and (np.diff(first, axis=1) > -1e-4).all() and (first[:, 0] <= d.min(1) + 1e-3).mean() > 0.95
+
+
 def test_neighbours_small(spark):
     schema = "id string, vector array<float>"
     assert neighbours.similar(spark.createDataFrame([], schema)).count() == 0
