@@ -67,3 +67,8 @@ CATEGORIES = ("permit", "conditions", "complaint", "lost-and-found", "emergency"
 
 def category_verdict(c: Column) -> Column:
     return verdict(F.coalesce(c.isin(*CATEGORIES), F.lit(False)), F.lit("no such category"), c)
+
+
+def given(c: Column) -> Column:
+    """Whether an argument was really given: models write "null" or "string" for none."""
+    return c.isNotNull() & ~F.lower(F.trim(c)).isin("", "null", "string")

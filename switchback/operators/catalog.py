@@ -50,15 +50,15 @@ def resolve(rows: DataFrame, asked: str, position: str = "id") -> DataFrame:
     return rows.where((F.col("id") == asked) | contains_ci(F.col("name"), F.lit(asked))).orderBy(position).limit(1)
 
 
-def concatenated(reviews: DataFrame, by: str = "product", text: str = "text", position: str = "id", most: int = 10_000) -> DataFrame:
+def concatenated(reviews: DataFrame, by: str = "product", text: str = "text", position: str = "id", runs: int = 0) -> DataFrame:
     """All texts per key in input order, joined by line ends.
 
-    A key's texts are first joined in runs of at most ``most`` rows, so that a key with very many rows is
-    put together from a few long parts.
+    The rows are range-partitioned by key and position, so a key with very many rows lies in several partitions (``runs`` in all,
+    as many as a shuffle has if 0); each joins its own texts, and a key's text is put together from these few long parts.
     """
-    w = Window.partitionBy(by).orderBy(position)
-    runs = reviews.where(F.col(text).isNotNull()).withColumn("_run", F.floor((F.row_number().over(w) - 1) / most))
-    parts = runs.groupBy(by, "_run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(position, text))), lambda x: x[text]), "\n").alias("part"), F.count("*").alias("n"))
+    runs = runs or int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = reviews.where(F.col(text).isNotNull()).select(by, position, text).repartitionByRange(runs, by, position).withColumn("_run", F.spark_partition_id())
+    parts = spread.groupBy(by, "_run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(position, text))), lambda x: x[text]), "\n").alias("part"), F.count("*").alias("n"))
     return parts.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", "part"))), lambda x: x["part"]), "\n").alias("text"), F.sum("n").alias("reviews"))
 
 
@@ -72,7 +72,7 @@ def co_mentions(reviews: DataFrame, by: str = "product", text: str = "text") ->
     Every run of as many words as some product name has is looked up by an equi-join.
     """
     names = reviews.select(F.col(by).alias("other")).where("other is not null").distinct().withColumn("key", F.lower("other")).withColumn("size", F.size(F.split("key", " ")))
-    sizes = sorted(r.size for r in names.select("size").distinct().limit(50).collect())
+    sizes = sorted(r.size for r in names.select("size").distinct().collect())
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
     rows = reviews.where(F.col(text).isNotNull() & F.col(by).isNotNull()).select(by, "id", words.alias("w"))
     runs = F.array().cast("array<string>")
@@ -84,4 +84,5 @@ def co_mentions(reviews: DataFrame, by: str = "product", text: str = "text") ->
 
 
 def random_baseline(items: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
-    return items.orderBy(F.xxhash64(F.lit(seed), "id")).limit(k)
+    """``k`` rows that depend on the seed alone."""
+    return items.orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string"))), "id").limit(k)

@@ -37,6 +37,31 @@ def routed(rows: DataFrame, routing: dict[str, str], default: str | None = None)
     return rows.withColumn("queue", F.coalesce(hit, miss))
 
 
+def union_of(sets: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several sets with their set's name as ``set``; columns go by name."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [rows.withColumn("set", F.lit(name)) for name, rows in sets.items()])
+
+
+def priority_ranks(rows: DataFrame, position: str, urgent: str = "emergency") -> DataFrame:
+    """``rows`` with ``rank`` from 1, urgent rows first, otherwise in input order.
+
+    The rows are sorted in ranges, written down with their place in the range, and the ranges' sizes - one number a partition - give
+    the offsets; no task sees all rows.
+    """
+    from pyspark.sql import Window
+
+    from switchback.plans.lineage import written
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("_late", ~F.coalesce(F.col("category") == urgent, F.lit(False)))
+    placed = keyed.repartitionByRange(n, "_late", position).sortWithinPartitions("_late", position).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_n", "_before", "_late")
+
+
 def by_priority(rows: DataFrame, position: str, urgent: str = "emergency") -> DataFrame:
     """Urgent rows first, otherwise in input order."""
     return rows.orderBy(~F.coalesce(F.col("category") == urgent, F.lit(False)), position)

@@ -82,6 +82,28 @@ def gated(action: Callable[..., dict], approve: Callable[[dict], bool], done: di
     return tool
 
 
+def permit_tool(availability: dict[str, dict], response: dict, approve: Callable[[dict], bool], done: dict[str, dict]) -> Callable[..., dict]:
+    """The permit request: read-only checks first, then a person's yes, then the service's (canned) answer for this request.
+
+    A missing argument and a park or date without a free permit are errors and ask nobody; a request that was carried out is answered as before.
+    """
+
+    def submit(**args) -> dict:
+        return {**response, "request": args}
+
+    ask = gated(submit, approve, done)
+
+    def tool(park="", date="", party_size=1, **_):
+        if not given(park) or not given(date):
+            return {"error": "a park and a date are needed"}
+        left = next((v for k, v in availability.items() if str(park).lower() in k.lower()), {}).get(str(date), 0)
+        if left < int(party_size):
+            return {"error": f"{left} permits left in {park} on {date}"}
+        return ask(park=park, date=str(date), party_size=int(party_size))
+
+    return tool
+
+
 def trail_tools(trails, reports, weather, campsites) -> dict[str, Callable[..., object]]:
     """The read-only tools over DataFrames; results are a few rows each."""
     from pyspark.sql import functions as F

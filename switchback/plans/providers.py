@@ -13,9 +13,11 @@ import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from switchback.functions.citations import cited, invalid, stripped
@@ -28,7 +30,7 @@ class ModelProvider(Protocol):
 
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
-    def chat(self, prompts: list[str], schema: dict | None = None, temperature: float = 0.0) -> list[str]: ...
+    def chat(self, prompts: list[str], schema: dict | None = None, temperature: float = 0.0, system: str = "") -> list[str]: ...
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,8 @@ class FakeProvider:
                 out[k, h % self.dim] += 1 if h >> 40 & 1 else -1
         return out.tolist()
 
-    def chat(self, prompts: list[str], schema: dict | None = None, temperature: float = 0.0) -> list[str]:
+    def chat(self, prompts: list[str], schema: dict | None = None, temperature: float = 0.0, system: str = "") -> list[str]:
+        prompts = [f"{system}\n\n{p}" if system else p for p in prompts]
         if self.log:
             with open(self.log, "a", encoding="utf-8") as f:
                 f.writelines(json.dumps(p) + "\n" for p in prompts)
@@ -75,10 +78,11 @@ class HttpProvider:
         data = self._post("embeddings", {"model": self.embedder, "input": texts})["data"]
         return [d["embedding"] for d in sorted(data, key=lambda d: d["index"])]
 
-    def chat(self, prompts: list[str], schema: dict | None = None, temperature: float = 0.0) -> list[str]:
+    def chat(self, prompts: list[str], schema: dict | None = None, temperature: float = 0.0, system: str = "") -> list[str]:
+        lead = [{"role": "system", "content": system}] if system else []
         extra = {"response_format": {"type": "json_schema", "json_schema": {"name": "reply", "schema": schema}}} if schema else {}
         return [
-            self._post("chat/completions", {"model": self.name, "temperature": temperature, "messages": [{"role": "user", "content": p}]} | extra)["choices"][0]["message"]["content"]
+            self._post("chat/completions", {"model": self.name, "temperature": temperature, "messages": [*lead, {"role": "user", "content": p}]} | extra)["choices"][0]["message"]["content"]
             for p in prompts
         ]
 
@@ -89,14 +93,14 @@ def provider_from_env(url: str = "MODEL_URL", name: str = "MODEL_NAME", embedder
     return HttpProvider(found[1], found[0], found[2], os.environ.get("MODEL_KEY", "")) if all(found) else FakeProvider()
 
 
-def replies(prompts: DataFrame, provider: ModelProvider, schema: dict | None = None, batch: int = 32) -> DataFrame:
-    """``(id, reply)`` of ``prompts(id, prompt)``, written down once."""
+def replies(prompts: DataFrame, provider: ModelProvider, schema: dict | None = None, batch: int = 32, system: str = "") -> DataFrame:
+    """``(id, reply)`` of ``prompts(id, prompt)``, written down once; ``system`` is said before each prompt."""
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lo in range(0, len(f), batch):
                 g = f.iloc[lo : lo + batch]
-                yield pd.DataFrame({"id": g["id"], "reply": provider.chat(g["prompt"].tolist(), schema)})
+                yield pd.DataFrame({"id": g["id"], "reply": provider.chat(g["prompt"].tolist(), schema, system=system)})
 
     return written(prompts.select("id", "prompt").mapInPandas(call, "id string, reply string"), "replies")
 
@@ -109,30 +113,34 @@ def structured(rows: DataFrame, ddl: str, col: str = "reply") -> DataFrame:
 def embedded(texts: DataFrame, provider: ModelProvider, cache: str, task: str = "", batch: int = 32) -> DataFrame:
     """``(id, vector)`` of ``texts(id, text)``; only texts that are not in the parquet cache are embedded.
 
-    The cache is keyed by model, task and a hash of the text, so a changed text is never served a stale vector.
+    The cache is keyed by model, task and a hash of the text, so a changed text is never served a stale vector; it is partitioned by
+    model, so that only this one's part is read.
     """
     spark: SparkSession = texts.sparkSession
     key = F.sha2(F.concat(F.lit(f"{task}: " if task else ""), F.coalesce("text", F.lit(""))), 256)
     keyed = texts.select("id", F.col("text"), key.alias("key"))
-    schema = "model string, key string, vector array<double>"
-    spark.createDataFrame([], schema).write.mode("append").parquet(cache)
-    known = spark.read.schema(schema).parquet(cache).where(F.col("model") == provider.name).select("key").distinct()
+    own = f"{cache}/model={quote(provider.name, safe='')}"
+    try:
+        known = spark.read.schema("key string, vector array<double>").parquet(own)
+    except AnalysisException:  # nothing on file yet
+        known = spark.createDataFrame([], "key string, vector array<double>")
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lo in range(0, len(f), batch):
                 g = f.iloc[lo : lo + batch]
-                yield pd.DataFrame({"model": provider.name, "key": g["key"], "vector": provider.embed([(f"{task}: " if task else "") + (t or "") for t in g["text"]])})
+                yield pd.DataFrame({"key": g["key"], "vector": provider.embed([(f"{task}: " if task else "") + (t or "") for t in g["text"]])})
 
-    fresh = keyed.join(known, "key", "left_anti").groupBy("key").agg(F.first("text").alias("text"))
-    written(fresh.mapInPandas(call, schema), "vectors").write.mode("append").parquet(cache)
-    vectors = spark.read.schema(schema).parquet(cache).where(F.col("model") == provider.name).groupBy("key").agg(F.first("vector").alias("vector"))
+    fresh = keyed.join(known.select("key"), "key", "left_anti").groupBy("key").agg(F.first("text").alias("text"))
+    made = written(fresh.mapInPandas(call, "key string, vector array<double>"), "vectors")
+    vectors = known.unionByName(made).groupBy("key").agg(F.first("vector").alias("vector"))
+    made.write.mode("append").parquet(own)
     return keyed.join(vectors, "key").select("id", "vector")
 
 
-def gated_replies(rows: DataFrame, may: DataFrame, provider: ModelProvider) -> DataFrame:
+def gated_replies(rows: DataFrame, may: DataFrame, provider: ModelProvider, system: str = "") -> DataFrame:
     """Rows with ``draft``; only those of ``may(id, prompt)`` reach the provider - two plans, not a condition."""
-    drafts = replies(may, provider).withColumnRenamed("reply", "draft")
+    drafts = replies(may, provider, system=system).withColumnRenamed("reply", "draft")
     asked = rows.join(drafts, "id")
     rest = rows.join(may.select("id"), "id", "left_anti").withColumn("draft", F.lit(None).cast("string"))
     return asked.unionByName(rest)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from switchback.functions import citations as C, text as X, validate as V
 from switchback.functions.vectors import cosine
 from switchback.operators import anomaly, catalog, review, scoring, search, sections, vectors
-from switchback.plans.providers import AUDIENCES, MODES, FakeProvider, cited_answers, compared, embedded, gated_replies, summary_prompt
+from switchback.plans.agent import permit_tool, trail_tools
+from switchback.plans.providers import AUDIENCES, MODES, FakeProvider, cited_answers, compared, embedded, gated_replies, replies, structured, summary_prompt
+from switchback.sources import files
 from switchback.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -36,11 +42,21 @@ def trails(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "hard").groupBy("id").agg(F.min("product").alias("product"), F.min("rating").alias("rating"), F.min("text").alias("text"))
+    """A row per review: repeated rows differ in their time of arrival only."""
+    return table(spark, d, "hard").select("id", "product", "rating", "text").dropDuplicates(["id"])
 
 
 def inquiries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "inquiries").groupBy("id").agg(F.min("category").alias("category"), F.min("text").alias("text"))
+    """A row per message: repeated rows differ in their time of arrival only."""
+    return table(spark, d, "inquiries").select("id", "category", "text").dropDuplicates(["id"])
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from switchback.plans.lineage import shared_folder
+
+    return f"{shared_folder(spark)}/switchback/{name}-{uuid.uuid4().hex}"
 
 
 def six(c) -> F.Column:
@@ -66,6 +82,14 @@ def vector_topk_per_label(spark, d):
     return vectors.top_k_per_query(e, asked).select("query_id", "id", six(F.col("score")).alias("score"), "rank", six(F.col("margin")).alias("margin"))
 
 
+@query(f"with {E}, s as (select q.id as query_id, e.id as id, list_cosine_similarity(e.v, q.v) as score from e, e q where q.id % 100 = 0 and e.id <> q.id), k as (select *, row_number() over w as rank from s window w as (partition by query_id order by score desc, id)) select query_id, id, round(score, 6) as score, rank from k where rank <= 5")
+def vector_topk_hundredth(spark, d):
+    """Every row whose id is divisible by 100, against all rows."""
+    e = items(spark, d)
+    asked = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return vectors.top_k_per_query(e, asked).select("query_id", "id", six(F.col("score")).alias("score"), "rank")
+
+
 @query(f"with {E} select e.id as id, round(list_cosine_similarity(e.v, q.v), 6) as score from e, e q where q.id = 3 and e.id <> 3 and e.label in (1, 2, 3) and list_cosine_similarity(e.v, q.v) >= 0.1 order by list_cosine_similarity(e.v, q.v) desc, e.id limit 5")
 def metadata_filtered_topk(spark, d):
     e = items(spark, d)
@@ -96,7 +120,12 @@ def taste_vector_topk(spark, d):
     return vectors.taste(items(spark, d), [1, 2]).select("id", six(F.col("score")).alias("score"))
 
 
-@query()
+@query(f"with {DIST}, s as (select label, avg(distance) as mean, stddev_pop(distance) as sd from d group by label) select id, rpad(id::varchar, 20, ' ') || lpad(printf('%.4f', distance), 10, ' ') || lpad(printf('%.4f', mean + 1.5 * sd), 10, ' ') || '  over by' || lpad(printf('%.4f', distance - mean - 1.5 * sd), 10, ' ') as line from d join s using (label) where distance > mean + 1.5 * sd")
+def anomaly_report(spark, d):
+    return anomaly.report(anomaly.flagged(vectors.distances(items(spark, d), "label"), "label", 1.5))
+
+
+@query("select vec_id as id from embeddings order by md5('0:' || vec_id), vec_id limit 5")
 def random_baseline(spark, d):
     return catalog.random_baseline(items(spark, d).select("id"))
 
@@ -175,12 +204,13 @@ def hybrid_topk(spark, d):
     return search.ranked(hits, 10).select("id", six(F.col("combined")).alias("combined"))
 
 
-@query()
+@query(f"with {HYBRID}, h as (select id, sn, ln from a join b using (id)), g as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as alpha), c as (select alpha, id, alpha * sn + (1 - alpha) * ln as combined from h, g), o as (select *, row_number() over w as rank, combined - lead(combined) over w as margin from c window w as (partition by alpha order by combined desc, id)), want as (select id from t where contains(description, 'birch') and lower(difficulty) = 'easy') select alpha, coalesce(max((id in (select id from want))::int), 0)::double as recall, round(max(margin) filter (rank = 1), 6) as mean_margin from o where rank <= 3 group by alpha")
 def alpha_sweep(spark, d):
-    docs = trails(spark, d).select("id", F.col("description").alias("text"))
-    hits = search.hybrid(docs, usable_vectors(spark, d), "birch", QUERY_VECTOR).withColumn("question", F.lit(1))
-    wanted = search.ranked(hits, 3).select("question", "id")
-    return search.recall_at_k(hits, wanted, [0.0, 0.25, 0.5, 0.75, 1.0], 3)
+    rows = trails(spark, d)
+    hits = search.hybrid(rows.select("id", F.col("description").alias("text")), usable_vectors(spark, d), "birch", QUERY_VECTOR).withColumn("question", F.lit(1))
+    # what is wanted does not depend on any ranking: easy trails whose description names the tree
+    wanted = rows.where(F.contains("description", F.lit("birch")) & (F.lower("difficulty") == "easy")).select(F.lit(1).alias("question"), "id")
+    return search.recall_at_k(hits, wanted, [0.0, 0.25, 0.5, 0.75, 1.0], 3).select("alpha", "recall", six(F.col("mean_margin")).alias("mean_margin"))
 
 
 @query(f"with {TRAILS}, s as (select min(distance_mi) as lo, max(distance_mi) as hi from t) select id, round((distance_mi - lo) / (hi - lo), 6) as norm from t, s")
@@ -214,6 +244,13 @@ def label_accuracy(spark, d):
     return scoring.accuracy(predicted(spark, d), "park")
 
 
+@query(f"with {TRAILS} select case when distance_mi < 5 then 'short' else 'long' end as set, count(*) filter ({RULE} = {LABEL}) as correct, count(*) as rows from t where difficulty is not null and distance_mi is not null group by all")
+def accuracy_by_set(spark, d):
+    """Two labelled sets with their names, together."""
+    rows = trails(spark, d).where("difficulty is not null and distance_mi is not null").select("id", F.expr(RULE).alias("predicted"), F.lower("difficulty").alias("label"), "distance_mi")
+    return scoring.accuracy(scoring.union_of({"short": rows.where("distance_mi < 5"), "long": rows.where("distance_mi >= 5")}), "set")
+
+
 @query(f"with {TRAILS} select count(*) filter ({RULE} = {LABEL}) as correct, count(*) as rows from t where difficulty is not null")
 def global_accuracy(spark, d):
     return scoring.accuracy(predicted(spark, d))
@@ -244,32 +281,129 @@ def queue_routing(spark, d):
 
 @query(f"with {INQUIRIES} select id, row_number() over (order by coalesce(category = 'emergency', false) desc, id) as rank from i")
 def priority_sort(spark, d):
-    from pyspark.sql import Window
+    return scoring.priority_ranks(inquiries(spark, d).select("id", "category"), "id").select("id", "rank")
 
-    # positions within either class come from a range-partitioned sort, not from one task
-    rows = scoring.by_priority(inquiries(spark, d).select("id", "category"), "id").select("id")
-    zipped = rows.rdd.map(lambda r: r.id).zipWithIndex()
-    return spark.createDataFrame(zipped, "id string, i long").select("id", (F.col("i") + 1).alias("rank"))
 
-
-@query(f"with {INQUIRIES}, l as (select id, category, coalesce(text, '') as draft, category in ('trail-condition', 'permit', 'complaint', 'general', 'lost-and-found') as may from i) select decision, count(*) as rows, sum(ed) as edits from (select case when not coalesce(may, false) then 'human-only' when upper(draft) like 'ESCALATE%' then 'escalated' when ends_with(id, '1') then 'approved' when ends_with(id, '2') then 'rejected' else 'skipped' end as decision, case when coalesce(may, false) and upper(draft) not like 'ESCALATE%' and ends_with(id, '1') then 0 else length(draft) end as ed from l) group by decision")
+@query(f"with {INQUIRIES}, l as (select id, category, coalesce(text, '') as draft, category in ('trail-condition', 'permit', 'complaint', 'general', 'lost-and-found') as may from i) select decision, count(*) as rows, sum(ed) as edits from (select case when not coalesce(may, false) then 'human-only' when upper(draft) like 'ESCALATE%' then 'escalated' when ends_with(id, '1') then 'approved' when ends_with(id, '2') then 'rejected' when ends_with(id, '3') then 'edited' else 'skipped' end as decision, case when coalesce(may, false) and upper(draft) not like 'ESCALATE%' and ends_with(id, '1') then 0 when coalesce(may, false) and upper(draft) not like 'ESCALATE%' and ends_with(id, '3') then 9 else length(draft) end as ed from l) group by decision")
 def review_decisions(spark, d):
     rows = review.with_lane(inquiries(spark, d)).withColumn("draft", F.coalesce("text", F.lit("")))
-    verdicts = rows.select("id", F.when(F.endswith("id", F.lit("1")), "approved").when(F.endswith("id", F.lit("2")), "rejected").alias("decision"), F.lit(None).cast("string").alias("edited"))
+    said = F.when(F.endswith("id", F.lit("1")), "approved").when(F.endswith("id", F.lit("2")), "rejected").when(F.endswith("id", F.lit("3")), "edited")
+    verdicts = rows.select("id", said.alias("decision"), F.concat("draft", F.lit(" (edited)")).alias("edited"))
     return review.decided(rows, verdicts, "driver").groupBy("decision").agg(F.count("*").alias("rows"), F.sum("edit_distance").alias("edits"))
 
 
-@query()
+@query(f"with {INQUIRIES}, l as (select id, text, case when category in ('trail-condition', 'permit', 'complaint', 'general', 'lost-and-found') then 'draft-for-approval' else 'human-only' end as lane from i) select id, lane, case when lane = 'draft-for-approval' then md5(left('Answer as the ranger on duty.' || chr(10) || chr(10) || 'Draft a reply:' || chr(10) || coalesce(text, ''), 80)) end as draft from l")
 def gated_drafts(spark, d):
     rows = review.with_lane(inquiries(spark, d)).select("id", "category", "lane", "text")
     may, _ = review.gate(rows)
-    drafted = gated_replies(rows, may.select("id", F.concat(F.lit("Draft a reply:\n"), F.coalesce("text", F.lit(""))).alias("prompt")), FakeProvider())
-    return drafted.select("id", "lane", "draft")
+    drafted = gated_replies(rows, may.select("id", F.concat(F.lit("Draft a reply:\n"), F.coalesce("text", F.lit(""))).alias("prompt")), FakeProvider(), system="Answer as the ranger on duty.")
+    return drafted.select("id", "lane", F.md5("draft").alias("draft"))
+
+
+@query(f"with {INQUIRIES} select id || '.txt' as name, md5(text || chr(10)) as digest from i where category in ('trail-condition', 'permit', 'complaint', 'general', 'lost-and-found') and ends_with(id, '1') and upper(coalesce(text, '')) not like 'ESCALATE%' and text is not null")
+def outbox_files(spark, d):
+    """Approved messages written as files, and read again as whole texts."""
+    rows = review.with_lane(inquiries(spark, d)).where("text is not null").withColumn("draft", F.col("text"))
+    audit = review.decided(rows, rows.select("id", F.when(F.endswith("id", F.lit("1")), "approved").alias("decision"), F.lit(None).cast("string").alias("edited")), "driver")
+    folder = working_folder(spark, "outbox")
+    review.write_outbox(audit, folder.removeprefix("file://"))
+    return files.whole_texts(spark, folder, "*.txt").select("name", F.md5("text").alias("digest"))
+
+
+@query(f"with {INQUIRIES} select case when category is null or category = 'general' then '(none on file for this message)' else upper(category) end as snippet, count(*) as rows from i group by all")
+def snippet_lookup(spark, d):
+    rows = inquiries(spark, d).withColumn("doc", F.concat("category", F.lit(".md")))
+    snippets = rows.where("category <> 'general'").select("doc", "category").distinct().select(F.col("doc").alias("name"), F.upper("category").alias("text"))
+    return files.with_snippet(rows, snippets).groupBy("snippet").agg(F.count("*").alias("rows"))
+
+
+@query(f"with {TRAILS} select id, name, distance_mi, elevation_ft, len(features) as features, md5(description) as digest from t")
+def json_lines_table(spark, d):
+    """Trails written as JSON lines and read again."""
+    path = working_folder(spark, "lines")
+    files.write_json_lines(trails(spark, d).select([x.split()[0] for x in files.TRAIL.split(", ")]), path)
+    back = files.json_lines(spark, path, files.TRAIL)
+    return back.select("id", "name", "distance_mi", "elevation_ft", F.when(F.col("features").isNotNull(), F.size("features")).cast("long").alias("features"), F.md5("description").alias("digest"))
+
+
+def one_text(spark, rows, path: str) -> str:
+    """A small table's lines as one file."""
+    rows.coalesce(1).write.text(path)
+    return path
+
+
+@query(f"with {TRAILS} select park, count(*) as trails from t where park is not null group by park")
+def json_array_table(spark, d):
+    parks = trails(spark, d).where("park is not null").groupBy("park").agg(F.count("*").alias("trails"))
+    text = parks.agg(F.concat(F.lit("[\n"), F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("park", "trails")))), ",\n"), F.lit("\n]")).alias("value"))
+    return files.json_array(spark, one_text(spark, text, working_folder(spark, "array")), "park string, trails long")
+
+
+def keyed_parks(spark, d) -> DataFrame:
+    """Parks as keys of one JSON object, beside a comment of another type, read as ``(key, pos, value)``."""
+    parks = trails(spark, d).where("park is not null").groupBy("park").agg(F.count("*").alias("trails"))
+    pair = F.concat(F.to_json(F.struct(F.col("park").alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("park").alias("k")))) - 6), F.lit(": "), F.to_json(F.struct("trails")))
+    text = parks.agg(F.concat(F.lit('{"_comment": "not a park",\n'), F.array_join(F.sort_array(F.collect_list(pair)), ",\n"), F.lit("\n}")).alias("value"))
+    return files.keyed_json(spark, one_text(spark, text, working_folder(spark, "keyed")), "struct<trails:long>")
+
+
+@query(f"with {TRAILS} select park as key, count(*) as trails from t where park is not null group by park")
+def keyed_json_table(spark, d):
+    return keyed_parks(spark, d).select("key", "value.trails")
+
+
+@query(f"with {TRAILS} select park, count(*) as trails from t where park in (select min(park) from t where park is not null) group by park")
+def tool_weather(spark, d):
+    """The lookup tools answer by park, from keyed JSON; asked for in capitals, and for nothing."""
+    keyed = keyed_parks(spark, d)
+    tools = trail_tools(trails(spark, d), table(spark, d, "condition_reports"), keyed, keyed)
+    first = trails(spark, d).agg(F.min("park")).first()[0]
+    said = [tools["get_weather"](park=first.upper()), tools["check_campsites"](park="null")]
+    return spark.createDataFrame([(r["park"], r["value"]["trails"]) for r in said if "error" not in r], "park string, trails long")
+
+
+@query("with c as (select id, any_value(trail_id) as trail_id, any_value(date) as date from condition_reports group by id) select id, row_number() over (order by date desc nulls last, id) as rank from c where trail_id = 'trail-00000117' order by rank limit 4")
+def tool_conditions(spark, d):
+    reports = table(spark, d, "condition_reports").select("id", "trail_id", "date").dropDuplicates(["id"])
+    said = trail_tools(trails(spark, d), reports, None, None)["get_trail_conditions"](trail="trail-00000117")
+    return spark.createDataFrame([(r["id"], r["rank"]) for r in said], "id string, rank int").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("select * from (values (1, 'submitted', 1), (2, 'submitted', 1), (3, 'cancelled', 1), (4, '2 permits left in Lorin on 2026-09-16', 1), (5, 'a park and a date are needed', 1), (6, '0 permits left in Nowhere on 2026-09-16', 1)) x(request, answer, submitted)")
+def permit_requests(spark, d):
+    """Permits behind a person's yes: the same request twice is carried out once, a refusal cancels, checks come first."""
+    done: dict[str, dict] = {}
+    tool = permit_tool({"Lorin Park": {"2026-09-16": 2}}, {"status": "submitted"}, lambda args: args["party_size"] < 2, done)
+    asked = [("Lorin", "2026-09-16", 1), ("Lorin", "2026-09-16", 1), ("lorin", "2026-09-16", 2), ("Lorin", "2026-09-16", 3), ("string", None, 1), ("Nowhere", "2026-09-16", 1)]
+    said = [tool(park=p, date=x, party_size=n) for p, x, n in asked]
+    return spark.createDataFrame([(k, r.get("status") or r["error"], len(done)) for k, r in enumerate(said, 1)], "request int, answer string, submitted int")
+
+
+@query(f"with {INQUIRIES} select id, category is not null and lower(trim(category)) not in ('', 'null', 'string') as given from i")
+def missing_arguments(spark, d):
+    return inquiries(spark, d).select("id", V.given(F.col("category")).alias("given"))
+
+
+@query(f"with {TRAILS} select id, description is null or regexp_replace(description, '^\\s+|\\s+$', '', 'g') <> '' as passed from t")
+def blank_texts(spark, d):
+    return trails(spark, d).select("id", V.text_verdict(F.col("description"))["passed"].alias("passed"))
+
+
+@query(f"with {TRAILS}, w as (select id, ends_with(id, '7') as unparsed, name, distance_mi, features, list_filter(regexp_split_to_array(regexp_replace(name, '[-,'']', ' ', 'g'), '\\s+'), lambda x: length(x) >= 4 and lower(x) not in ({', '.join(quoted(x) for x in V.BOILERPLATE)})) as ws, lower(coalesce(description, '')) as src from t) select id, unparsed, unparsed or distance_mi is null or (distance_mi > 0 and distance_mi <= 100) as miles_ok, unparsed or name is null or (trim(name) <> '' and case when len(ws) > 0 then len(list_filter(ws, lambda x: not contains(src, lower(x)))) = 0 else contains(src, lower(trim(name))) end) as grounded, case when unparsed then 0 else len(list_filter(list_transform(coalesce(features, []), lambda x: trim(x)), lambda x: x is not null and x <> '')) end as hazards from w")
+def structured_extraction(spark, d):
+    """Facts asked of a model as JSON, parsed, and validated field by field; every tenth reply is broken off."""
+    rows = trails(spark, d)
+    facts = F.to_json(F.struct(F.col("name").alias("trail_name"), "distance_mi", F.col("features").alias("hazards")))
+    prompts = rows.select("id", F.when(F.endswith("id", F.lit("7")), F.substring(facts, 1, 12)).otherwise(facts).alias("prompt"))
+    read = structured(replies(prompts, FakeProvider(reply=lambda p: p)), files.FACTS)
+    both = read.join(rows.select("id", "description"), "id")
+    miles, named = V.range_verdict(F.col("record.distance_mi"), V.MAX_MILES), V.grounded_verdict(F.col("record.trail_name"), F.coalesce("description", F.lit("")))
+    return both.select("id", "unparsed", miles["passed"].alias("miles_ok"), named["passed"].alias("grounded"), F.size(V.clean_list(F.col("record.hazards"))).cast("long").alias("hazards"))
 
 
 @query("with c as (select id, min(trail_id) as trail_id, min(ingested_at) as ingested_at from condition_reports group by id) select trail_id, id, rank from (select trail_id, id, row_number() over (partition by trail_id order by ingested_at desc nulls last, id) as rank from c where trail_id is not null) where rank <= 4")
 def latest_reports(spark, d):
-    c = table(spark, d, "condition_reports").groupBy("id").agg(F.min("trail_id").alias("trail_id"), F.min("ingested_at").alias("ingested_at")).where("trail_id is not null")
+    c = table(spark, d, "condition_reports").groupBy("id", "trail_id").agg(F.min("ingested_at").alias("ingested_at")).where("trail_id is not null")
     return catalog.latest(c, "trail_id", "ingested_at").select("trail_id", "id", "rank")
 
 
@@ -278,7 +412,7 @@ GAPS = "e as (select event_id, user_id, ts::date as date from events where event
 
 def error_clusters(spark, d):
     e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", F.to_date("ts").alias("date"))
-    return anomaly.gap_clusters(e, "user_id", days=3, order="event_id")
+    return anomaly.gap_clusters(e, "user_id", days=3)
 
 
 @query(f"with {GAPS} select event_id, user_id, cluster::bigint as cluster from g")
@@ -291,20 +425,15 @@ def cluster_alerts(spark, d):
     return anomaly.alerts(error_clusters(spark, d), "user_id").withColumn("cluster", F.col("cluster").cast("long"))
 
 
-@query()
+@query("with b as (select user_id, avg(value) as mean, stddev_pop(value) as sd from events group by user_id), f as (select user_id, ts from events join b using (user_id) where value > mean + sd), n as (select *, coalesce((ts > lag(ts) over w + interval 1 day)::int, 1) as fresh from f window w as (partition by user_id order by ts)), g as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from n) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first, count(*) as size, count(*) >= 2 as alert from g group by user_id, s")
 def stream_alerts(spark, d):
-    """The streaming plan, run over the table once; sessions appear when the watermark has passed them."""
-    import uuid
-
-    from switchback.plans.lineage import shared_folder
-    from switchback.streaming.alerts import baseline_of, stream_alerts as plan
+    """The streaming plan over the whole table, with the sessions that are open at its end."""
+    from switchback.streaming.alerts import baseline_of, replayed, stream_alerts as plan
 
     events = table(spark, d, "events").select("user_id", "ts", "value")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*").parquet(f"{d}/events*.parquet")
-    out = plan(stream, baseline_of(events, "user_id"), "user_id", gap="1 day", late="1 hour")
-    base = f"{shared_folder(spark)}/switchback/stream-{uuid.uuid4().hex}"
-    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    out = replayed(plan(stream, baseline_of(events, "user_id"), "user_id", gap="1 day", late="1 hour"), working_folder(spark, "stream"))
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("first"), "size", "alert")
 
 
 @query(f"with {REVIEWS}, x as (select id, regexp_extract(lower(text), '(positive|negative|mixed|stars|rated)', 1) as hit, text from r where text is not null) select id, case when regexp_extract(lower(text), '(positive|negative|mixed)', 1) <> '' then regexp_extract(lower(text), '(positive|negative|mixed)', 1) else 'other' end as label from x")
@@ -384,10 +513,10 @@ def clipping(spark, d):
     return trails(spark, d).select("id", X.clipped(F.col("description"), 70).alias("clipped"), X.truncated(F.col("description"), 60).alias("cut"))
 
 
-@query()
+@query("with x as (select doc_id, regexp_extract(text, '(?:^|\\n)#\\s+([^\\n]*)', 1) as title, regexp_matches(text, '(?:^|\\n)#\\s+') as titled, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as body from documents where text is not null) select doc_id || ':00' as chunk_id, doc_id || '.md' as source, md5('[' || case when titled then regexp_replace(title, '^\\s+|\\s+$', '', 'g') else doc_id::varchar end || ']' || chr(10) || chr(10) || body) as digest from x")
 def section_chunks(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text")
-    return sections.chunk_documents(docs)
+    return sections.chunk_documents(docs).select("chunk_id", "source", F.md5("text").alias("digest"))
 
 
 @query(f"with {TRAILS} select struct_pack(id := id, name := name, park := park)::json::varchar as packed from t")
@@ -395,10 +524,6 @@ def json_rows(spark, d):
     return trails(spark, d).select(F.to_json(F.struct("id", "name", "park"), {"ignoreNullFields": "false"}).alias("packed"))
 
 
-def quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 @query(f"with {REVIEWS} select id, md5({quoted(MODES['briefing'] + ' ' + AUDIENCES['ranger'])} || chr(10) || chr(10) || 'Report:' || chr(10) || text) as prompt from r where text is not null")
 def prompt_render(spark, d):
     r = reviews(spark, d).where("text is not null")
@@ -426,16 +551,19 @@ def enum_validate(spark, d):
     return trails(spark, d).where("difficulty is not null").select("id", V.category_verdict(F.lower("difficulty"))["passed"].alias("passed"))
 
 
-@query(f"with {REVIEWS}, q as (select id, text, [id || ':1'] as known, case when ends_with(id, '3') then 'Told in [' || id || ':2]' else 'Told in [' || id || ':1]' end as reply from r where text is not null) select id, case when ends_with(id, '3') then 'Told in [invalid-citation-removed]' else reply end as answer, ends_with(id, '3') as retried from q")
+@query(f"with {REVIEWS} select id, case when ends_with(id, '3') then 'Told in [invalid-citation-removed]' when ends_with(id, '5') then {quoted(X.REFUSAL)} else 'Told in [' || id || ':1]' end as answer, right(id, 1) in ('3', '7') as retried, ends_with(id, '3')::int as removed from r where text is not null")
 def citation_repair(spark, d):
+    """Wrong twice, right at the second try, a refusal that cites, and right at once."""
     rows = reviews(spark, d).where("text is not null")
     q = rows.select("id", F.col("id").alias("prompt"), F.array(F.concat("id", F.lit(":1"))).alias("retrieved"))
 
     def reply(prompt: str) -> str:
-        i = prompt.split("\n")[0]
-        return f"Told in [{i}:{2 if i.endswith('3') else 1}]"
+        i, again = prompt.split("\n")[0], "Cite only" in prompt
+        if i.endswith("5"):
+            return f"{X.REFUSAL} [{i}:2]"
+        return f"Told in [{i}:{2 if i.endswith('3') or (i.endswith('7') and not again) else 1}]"
 
-    return cited_answers(q, FakeProvider(reply=reply)).select("id", "answer", "retried")
+    return cited_answers(q, FakeProvider(reply=reply)).select("id", "answer", "retried", "removed")
 
 
 @query(f"with {REVIEWS} select case when rating >= 4 then 'positive' else 'negative' end as first, case when rating >= 3 then 'positive' else 'negative' end as second, count(*) as rows from r where rating is not null group by all")
@@ -446,15 +574,15 @@ def two_models(spark, d):
     return compared(rows, strict, mild).groupBy("first", "second").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query(f"with {REVIEWS} select count(*) as rows, count(distinct coalesce(text, '')) as cached, count(distinct coalesce(text, '')) as cached_again from r")
 def embedding_cache(spark, d):
-    """Reviews embedded by the stand-in; equal texts share one cached vector."""
-    import uuid
-
-    from switchback.plans.lineage import shared_folder
-
-    cache = f"{shared_folder(spark)}/switchback/cache-{uuid.uuid4().hex}"
-    return embedded(reviews(spark, d).select("id", "text"), FakeProvider(), cache, task="search")
+    """Reviews embedded by the stand-in, twice; equal texts share one cached vector, and the second time none is added."""
+    cache = working_folder(spark, "cache")
+    rows = reviews(spark, d).select("id", "text")
+    first = embedded(rows, FakeProvider(), cache, task="search").count()
+    on_file = spark.read.parquet(cache).count()
+    embedded(rows, FakeProvider(), cache, task="search").count()
+    return spark.createDataFrame([(first, on_file, spark.read.parquet(cache).count())], "rows long, cached long, cached_again long")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

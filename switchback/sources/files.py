@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from switchback.functions.text import front_matter_field, without_front_matter
 
-TRAIL = T.StructType.fromDDL("id string, name string, park string, distance_mi double, elevation_ft int, difficulty string, features array<string>, description string")
-REVIEW = T.StructType.fromDDL("id string, product string, rating int, reviewer string, text string")
-REPORT = T.StructType.fromDDL("id string, trail_id string, date date, text string")
-INQUIRY = T.StructType.fromDDL("id string, channel string, received timestamp, category string, doc string, text string")
-FACTS = T.StructType.fromDDL(
-    "trail_name string, park string, date_hiked string, distance_mi double, elevation_gain_ft double, wildlife array<string>, conditions array<string>, hazards array<string>"
-)
+TRAIL = "id string, name string, park string, distance_mi double, elevation_ft int, difficulty string, features array<string>, description string"
+REVIEW = "id string, product string, rating int, reviewer string, text string"
+REPORT = "id string, trail_id string, date date, text string"
+INQUIRY = "id string, channel string, received timestamp, category string, doc string, text string"
+FACTS = "trail_name string, park string, date_hiked string, distance_mi double, elevation_gain_ft double, wildlife array<string>, conditions array<string>, hazards array<string>"
 
 
 def whole_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
@@ -27,12 +25,12 @@ def trip_reports(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("name", *fields, without_front_matter(F.col("text")).alias("body"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
 
 
-def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
@@ -42,8 +40,7 @@ def keyed_json(spark: SparkSession, path: str, value_ddl: str) -> DataFrame:
     Values go through variants, since a comment of another type would spoil a map of structs.
     """
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    raw.createOrReplaceTempView("_keyed_json")
-    rows = spark.sql("select e.key, e.pos, to_json(e.value) as value from _keyed_json, lateral variant_explode(v) as e")
+    rows = spark.sql("select e.key, e.pos, to_json(e.value) as value from {raw}, lateral variant_explode(v) as e", raw=raw)
     return rows.where(~F.startswith("key", F.lit("_"))).select("key", "pos", F.from_json("value", value_ddl).alias("value"))
 
 

@@ -18,5 +18,21 @@ def stream_alerts(events: DataFrame, baseline: DataFrame, by: str, ts: str = "ts
     return out.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "size", (F.col("size") >= least).alias("alert"))
 
 
+def replayed(alerts: DataFrame, folder: str) -> DataFrame:
+    """All sessions of a stream that has an end, those included that no later event would close.
+
+    Runs the plan once over what is there; in complete mode each batch puts out every session, and the last one is kept.  An endless stream
+    is written in append mode instead, where a session appears when the watermark has passed it.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    query = alerts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = alerts.sparkSession
+    return spark.read.schema(alerts.schema).parquet(f"{folder}/out")
+
+
 def baseline_of(events: DataFrame, by: str, value: str = "value") -> DataFrame:
     return events.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))

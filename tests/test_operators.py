@@ -184,3 +184,76 @@ def test_sources(spark, tmp_path):
     assert (r.id, r.author, r.park, r.body) == ("tr-1", "x", None, "Body")
     assert {(x.key, x.value.n) for x in files.keyed_json(spark, str(tmp_path / "w.json"), "n int").collect()} == {("Glacier", 1), ("Acadia", 2)}
     assert files.json_lines(spark, str(tmp_path / "l.jsonl"), files.REVIEW).count() == 2
+
+
+def test_top_k_per_query_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, (80, 5)).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 5), (902, [1.0] * 4), (None, [1.0] * 5)]
+    items = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = items.where("id % 10 = 0 or id = 902").selectExpr("id as query_id", "vector as query_vector")
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    got = {}
+    for r in vectors.top_k_per_query(items, asked, 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, round(r.score, 9), None if r.margin is None else round(r.margin, 9)))
+    n = np.linalg.norm(x, axis=1)
+    assert set(got) <= {*range(0, 80, 10)}
+    for q in range(0, 80, 10):
+        if not n[q]:
+            continue
+        best = sorted((-(x[q] @ x[i]) / (n[q] * n[i]), i) for i in range(80) if i != q and n[i])[:5]
+        assert [(k + 1, i, round(-s, 9), round(best[k + 1][0] - s, 9)) for k, (s, i) in enumerate(best[:4])] == sorted(got[q])
+    assert vectors.top_k_per_query(items, asked.limit(0)).count() == 0 and vectors.top_k_per_query(items.limit(0), asked).count() == 0
+
+
+def test_texts_of_a_hot_key_in_order(spark):
+    rows = [(f"r{i:04d}", "hot" if i % 3 else "cold", f"t{i}") for i in range(300)] + [("x", "hot", None)]
+    df = spark.createDataFrame(rows, "id string, product string, text string").repartition(5)
+    got = {r.product: (r.text, r.reviews) for r in catalog.concatenated(df, runs=7).collect()}
+    for name in ("hot", "cold"):
+        texts = [t for _, p, t in rows if p == name and t]
+        assert got[name] == ("\n".join(texts), len(texts))
+
+
+def test_priority_ranks_over_several_partitions(spark):
+    rows = [(f"m{i:03d}", "emergency" if i % 7 == 3 else None if i % 5 == 0 else "permit") for i in range(200)]
+    got = [r.id for r in scoring.priority_ranks(spark.createDataFrame(rows, "id string, category string").repartition(4), "id").orderBy("rank").collect()]
+    assert got == sorted((i for i, _ in rows), key=lambda i: (dict(rows)[i] != "emergency", i))
+
+
+def test_a_system_message_goes_before_each_prompt(spark, tmp_path):
+    from switchback.plans.providers import FakeProvider, HttpProvider, replies
+
+    log = tmp_path / "log"
+    df = spark.createDataFrame([("a", "one"), ("b", "two")], "id string, prompt string")
+    got = {r.id: r.reply for r in replies(df, FakeProvider(log=str(log)), system="Be brief.").collect()}
+    assert got == {"a": "Be brief.\n\none", "b": "Be brief.\n\ntwo"}
+    sent = []
+    http = HttpProvider("m", "http://localhost", "e")
+    object.__setattr__(http, "_post", lambda route, body: sent.append(body) or {"choices": [{"message": {"content": "ok"}}]})
+    assert http.chat(["hi"], system="Be brief.") == ["ok"]
+    assert [(m["role"], m["content"]) for m in sent[0]["messages"]] == [("system", "Be brief."), ("user", "hi")]
+    http.chat(["hi"])
+    assert [m["role"] for m in sent[1]["messages"]] == ["user"]
+
+
+def test_gap_clusters_of_many_rows_a_day(spark):
+    import datetime
+
+    day = datetime.date(2026, 6, 18)
+    rows = [(k, "hot", day + datetime.timedelta(days=x)) for k, x in enumerate([0] * 40 + [14] * 30 + [29] * 20)] + [(999, "hot", None), (998, None, day)]
+    got = anomaly.gap_clusters(spark.createDataFrame(rows, "id long, trail string, date date"), "trail").groupBy("cluster").count().collect()
+    assert {(r.cluster, r["count"]) for r in got} == {(1, 70), (2, 20), (None, 2)}
+
+
+def test_provider_from_the_environment(monkeypatch):
+    from switchback.plans.providers import FakeProvider, HttpProvider, provider_from_env
+
+    for v in ("MODEL_URL", "MODEL_NAME", "EMBEDDER_NAME"):
+        monkeypatch.delenv(v, raising=False)
+    assert isinstance(provider_from_env(), FakeProvider)
+    for v, x in (("MODEL_URL", "http://localhost:1"), ("MODEL_NAME", "m"), ("EMBEDDER_NAME", "e")):
+        monkeypatch.setenv(v, x)
+    assert provider_from_env() == HttpProvider("m", "http://localhost:1", "e", "")

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from switchback.streaming.alerts import stream_alerts
+from switchback.streaming.alerts import replayed, stream_alerts
 
 
 def test_sessions_of_flagged_events(spark, tmp_path):
@@ -18,3 +18,6 @@ def test_sessions_of_flagged_events(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("start").select(F.date_format("start", "yyyy-MM-dd").alias("d"), "size", "alert").collect()
     # the last sessions stay open until the watermark passes them
     assert [(r.d, r.size, r.alert) for r in got][:3] == [("2024-01-01", 3, True), ("2024-02-10", 2, True), ("2024-03-31", 1, False)]
+    # a replay of a stream that has an end puts out every session
+    every = replayed(stream_alerts(stream, base, "user_id", gap="14 days"), str(tmp_path / "whole")).orderBy("user_id", "start").select("user_id", "size").collect()
+    assert [tuple(r) for r in every] == [(1, 3), (1, 2), (1, 1), (1, 1), (2, 1)]
