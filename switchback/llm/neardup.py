@@ -494,8 +494,10 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         jump = step.select(F.col("nid").alias("to"), F.col("to").alias("further"))
         new = written(step.join(jump, "to", "left").select("nid", "root", F.least("to", F.coalesce("further", "to")).alias("new")), "roots")
         changed = not new.where("new <> root").isEmpty()
+        forget(state)
         state = new.select("nid", F.col("new").alias("root"))
         if not changed:
+            forget(edges)
             break
     return state
 

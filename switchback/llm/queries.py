@@ -84,5 +84,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+#: p2_found by the definition: runs of three words, pairs that share one, and what both have of what either has.
+P2_SQL = r"""
+with x as (select 'hard' as tab, id as rec_id, min(text) as text from hard where text is not null group by id
+    union all select 'documents', doc_id::varchar, min(text) from documents where text is not null group by doc_id),
+w as (select tab, rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from x),
+r as (select tab, rec_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as run from w where len(w) >= 3),
+n as (select tab, rec_id, count(*) as n from r group by all),
+m as (select a.tab as tab, a.rec_id as id_a, b.rec_id as id_b, count(*) as m from r a join r b on a.tab = b.tab and a.run = b.run and a.rec_id < b.rec_id group by all)
+select m.tab as tab, id_a, id_b from m join n a on a.tab = m.tab and a.rec_id = id_a join n b on b.tab = m.tab and b.rec_id = id_b where m >= 0.6 * (a.n + b.n - m)
+"""
+
+#: p3_found by all cosines.
+P3_SQL = """
+with v as (select id, min(vector::double[]) as v from trail_vectors where vector is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or isnan(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by id),
+s as (select a.id as a, b.id as b, list_cosine_similarity(a.v, b.v) as s from v a, v b where a.id <> b.id),
+k as (select *, row_number() over (partition by a order by s desc, b) as rank from s)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from k where rank <= 5 and s >= 0.85
+"""
+
+#: p4_found by the definition: words, the boundaries between them, and the longest stretch.
+P4_SQL = r"""
+with x as (select chunk_id, min(text) as text from chunks where text is not null and chunk_id is not null group by chunk_id),
+g as (select chunk_id, regexp_extract_all(text, '[^ \t\r\n]+') as w, list_prepend('', regexp_extract_all(regexp_replace(text, '^[ \t\r\n]+', ''), '[ \t\r\n]+')) as gap from x),
+u as (select chunk_id, len(w) as n, generate_subscripts(w, 1) as i, unnest(w) as w, unnest(gap[1:len(w)]) as gap from g where len(w) > 200),
+e as (select *, regexp_replace(w, '["”’)\]*_'']+$', '') as core from u),
+c as (select *, lower(ltrim(rtrim(core, '.'), '(["“‘*_''')) as bare from e),
+s as (select *, regexp_matches(w, '[.!?…]+["”’)\]*_'']*$') and (right(core, 1) <> '.' or not (bare = '' or list_contains([ABBREVIATIONS], bare) or regexp_matches(bare, '^[\p{Nd}.,:/#$-]*\p{Nd}$') or regexp_matches(bare, '^\p{L}$'))) as ends from c),
+b as (select chunk_id, n, i, i > 1 and (coalesce(lag(ends) over (partition by chunk_id order by i), false) or (regexp_matches(gap, '[\r\n]') and (regexp_matches(gap, '(\r\n|\r|\n)[ \t]*(\r\n|\r|\n)') or regexp_matches(w, '^(-|\*|•|\+|–|·|\d+\.\d+\.?)$')))) as cut from s),
+d as (select chunk_id, i - 1 as place from b where cut union all select distinct chunk_id, n from b union all select distinct chunk_id, 0 from b),
+l as (select chunk_id, place - lag(place) over (partition by chunk_id order by place) as stretch from d)
+select chunk_id, case when max(stretch) > 180 then 'forced' else 'clean' end as cut from l group by chunk_id
+""".replace("ABBREVIATIONS", ", ".join(f"'{a}'" for a in sorted(chunks.ABBREVIATIONS)))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL}
