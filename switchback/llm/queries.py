@@ -84,16 +84,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
-#: p2_found by the definition: runs of three words, pairs that share one, and what both have of what either has.
-P2_SQL = r"""
-with x as (select 'hard' as tab, id as rec_id, min(text) as text from hard where text is not null group by id
+#: Of problem 2 by the definition: runs of three words, pairs that share one, and what both have of what either has.
+PAIRS = r"""with recursive x as (select 'hard' as tab, id as rec_id, min(text) as text from hard where text is not null group by id
     union all select 'documents', doc_id::varchar, min(text) from documents where text is not null group by doc_id),
 w as (select tab, rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from x),
 r as (select tab, rec_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as run from w where len(w) >= 3),
 n as (select tab, rec_id, count(*) as n from r group by all),
-m as (select a.tab as tab, a.rec_id as id_a, b.rec_id as id_b, count(*) as m from r a join r b on a.tab = b.tab and a.run = b.run and a.rec_id < b.rec_id group by all)
-select m.tab as tab, id_a, id_b from m join n a on a.tab = m.tab and a.rec_id = id_a join n b on b.tab = m.tab and b.rec_id = id_b where m >= 0.6 * (a.n + b.n - m)
-"""
+m as (select a.tab as tab, a.rec_id as id_a, b.rec_id as id_b, count(*) as m from r a join r b on a.tab = b.tab and a.run = b.run and a.rec_id < b.rec_id group by all),
+p as (select m.tab as tab, id_a, id_b from m join n a on a.tab = m.tab and a.rec_id = id_a join n b on b.tab = m.tab and b.rec_id = id_b where m >= 0.6 * (a.n + b.n - m))"""
+P2_SQL = f"{PAIRS} select tab, id_a, id_b from p"
+
+#: Its groups: classes of equal word sequences, and what is reached from each over the pairs.
+GROUPS_SQL = f"""{PAIRS},
+c as (select tab, rec_id, min(rec_id) over (partition by tab, array_to_string(w, ' ')) as class_id from w where len(w) >= 3),
+e as (select distinct p.tab as tab, a.class_id as a, b.class_id as b from (select tab, id_a, id_b from p union all select tab, id_b, id_a from p) p join c a on a.tab = p.tab and a.rec_id = id_a join c b on b.tab = p.tab and b.rec_id = id_b where a.class_id <> b.class_id),
+g as (select tab, a, b from e union select g.tab, g.a, e.b from g join e on e.tab = g.tab and e.a = g.b),
+f as (select tab, a, min(b) as b from g group by all),
+l as (select tab, a, count(*) as links from e group by all)
+select c.tab as tab, c.rec_id as rec_id, class_id, least(class_id, coalesce(f.b, class_id)) as group_id, coalesce(links, 0) as links from c left join f on f.tab = c.tab and f.a = class_id left join l on l.tab = c.tab and l.a = class_id"""
 
 #: p3_found by all cosines.
 P3_SQL = """
@@ -119,4 +127,4 @@ select chunk_id, case when max(stretch) > 180 then 'forced' else 'clean' end as
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL}
+    return {"p2_found": P2_SQL, "p2_groups": GROUPS_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL}

@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: At most so many documents, the first by hash of the id, are graded to fit the ranker.
-SAMPLE_DOCS = 6_000
+SAMPLE_DOCS = 20_000
 SAMPLE_PAIRS = 60_000
+RIDGE = 1e-4
 EASY_WORDS, EASY_LETTERS = 9.0, 4.0
 HARD_WORDS, HARD_LETTERS = 22.0, 5.2
 FEATURES = ("log_sentence", "letters_per_word", "long_share", "short_share", "commas_per_sentence", "function_share", "subordinate_share", "variety")
@@ -194,8 +195,12 @@ def fit(x: np.ndarray, g: np.ndarray, seed: int = 7) -> Ranker:
     harder, easier = graded_pairs(x, g, SAMPLE_PAIRS, rng)
     if len(harder):
         d = z[harder] - z[easier]
-        for _ in range(500):
-            w += 0.5 * ((1 / (1 + np.exp(np.clip(d @ w, -30, 30))))[:, None] * d).mean(0) - 1e-4 * w
+        for _ in range(30):  # Newton steps of the ridge-penalised logistic loss
+            q = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            step = np.linalg.solve((d * (q * (1 - q))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w)), (q[:, None] * d).mean(0) - RIDGE * w)
+            w += step
+            if np.abs(step).max() < 1e-6:
+                break
     knots, levels = isotonic(z @ w, g)
     return Ranker(mean.tolist(), scale.tolist(), w.tolist(), knots, levels)
 
@@ -221,7 +226,7 @@ def reading_levels(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame
     featured = written(with_features(docs), "features")
     ranker = fit_on(featured, sample_docs)
     out = featured.withColumn("score", ranker.score()).withColumn("level", F.when(F.col("score").isNotNull(), ranker.level(F.col("score"))))
-    band = F.when(F.col("level") < 0.5, "easy").when(F.col("level") > 1.5, "demanding").when(F.col("level").isNotNull(), "middle")
+    band = F.when(F.col("level") < 0.5, "easy").when(F.col("level") >= 1.5, "demanding").when(F.col("level").isNotNull(), "middle")
     return out.select("doc_id", "language", "score", "level", band.alias("band"), "words_per_sentence", "letters_per_word")
 
 
