@@ -208,10 +208,11 @@ def fit(x: np.ndarray, g: np.ndarray, seed: int = 7) -> Ranker:
 def fit_on(featured: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Ranker:
     """Fit on the first ``sample_docs`` English documents by hash of the id."""
     english = featured.where("language = 'en'").withColumn("h", F.xxhash64("doc_id"))
-    # about twice the sample is sorted, however large the corpus: rows with a small hash
-    part = min(1.0, 2.0 * sample_docs / max(english.count(), 1))
+    # rows with a small hash: about as many as the sample holds, however large the corpus
+    part = min(1.0, sample_docs / max(english.count(), 1))
     few = english.where(F.col("h") <= F.lit(min(2**63 - 1, int((part * 2 - 1) * 2**63)))) if part < 1 else english
-    sample = few.select(*FEATURES, grade(F.col("words_per_sentence"), F.col("letters_per_word")).alias("g"), "h").orderBy("h").limit(sample_docs).toPandas()
+    graded = grade(F.col("words_per_sentence"), F.col("letters_per_word")).alias("g")
+    sample = few.select(*[F.col(f).cast("float") for f in FEATURES], graded, "h").toPandas().sort_values(["h", *FEATURES]).head(sample_docs)
     return fit(sample[list(FEATURES)].to_numpy(), sample["g"].to_numpy())
 
 
