@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Tables of this process that no :func:`forget` has deleted.
+_TABLES: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,13 +39,27 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/switchback/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table behind a frame made by :func:`written` (a round's superseded state)."""
-    jvm = df.sparkSession._jvm
     for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        fs = path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path, True)
+        folder = name.rpartition("/")[0]
+        _delete(df.sparkSession, folder)
+        _TABLES.difference_update([p for p in _TABLES if p.rpartition("/")[2] == folder.rpartition("/")[2]])
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this process; to be called when its results are stored.  Returns how many there were."""
+    n = 0
+    while _TABLES:
+        _delete(spark, _TABLES.pop())
+        n += 1
+    return n

@@ -257,3 +257,16 @@ def test_provider_from_the_environment(monkeypatch):
     for v, x in (("MODEL_URL", "http://localhost:1"), ("MODEL_NAME", "m"), ("EMBEDDER_NAME", "e")):
         monkeypatch.setenv(v, x)
     assert provider_from_env() == HttpProvider("m", "http://localhost:1", "e", "")
+
+
+def test_tables_are_swept(spark):
+    import os
+
+    from switchback.plans import lineage
+
+    lineage.sweep(spark)
+    kept, dropped = lineage.written(spark.range(3), "kept"), lineage.written(spark.range(4), "dropped")
+    folder = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    lineage.forget(dropped)
+    assert kept.count() == 3 and os.path.exists(folder)
+    assert lineage.sweep(spark) == 1 and not os.path.exists(folder)
