@@ -210,11 +210,22 @@ def local_terms(address: str) -> list[str]:
     return [term(x) for x in re.split(r"[._\-\s\(\)\[\]]+|\bdot\b|\bunderscore\b", local) if len(x) > 1 and x.isalpha()]
 
 
+#: Bits of a bitmap: 2 MB, whatever the corpus.
+BITS = 1 << 24
+
+
+def text_slot(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % BITS
+
+
 EVIDENCE = "what string, a string, b string, n long, tab string, rec_id string, start_pos long, end_pos long"
 
 
 def evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of one task: pairs ``p``, e-mail terms ``e``, lower-case words ``l``, shaped terms with the nearest pair ``s``; and places of shaped terms ``x``."""
+    """Counts of one task: pairs ``p``, e-mail terms ``e``, lower-case words ``l``, shaped terms with the nearest pair ``s``.
+
+    And the places ``x`` of shaped terms; of rows without id a hash ``h`` of each text that has any.
+    """
     pairs: Counter = Counter()
     inside: Counter = Counter()
     tokens: Counter = Counter()
@@ -257,6 +268,8 @@ def evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 shaped[shape, min(near, key=lambda x: abs(x[0] - a), default=(0, ""))[1]] += 1
                 if i is not None:
                     places.append(("x", shape, "", 1, tab, i, (at[a] if at else a) + 1, at[b] if at else b))
+            if i is None:
+                places.append(("h", "", "", 1, None, None, text_slot(text), None))
         if len(pairs) + len(tokens) + len(shaped) + len(places) > FLUSH:
             yield out()
     yield out()
@@ -348,8 +361,6 @@ SHAPES = [
     (re.compile(rf"(?<![\w'’.-])(?=([^\W\d_])\.\s*(?:[^\W\d_]\.\s*)?({WORD}))"), "", "surname"),
     (re.compile(rf"(?<![\w'’-])({WORD})(?=,\s+({CAP})\.)"), "surname", ""),
 ]
-#: Bits of the prefilter of the exact way: 2 MB, whatever the vocabulary.
-BITS = 1 << 24
 
 
 def bare(word: str) -> str:
@@ -357,10 +368,9 @@ def bare(word: str) -> str:
     return term(word[:-2] if word[-2:] in ("'s", "’s") else word)
 
 
-def bitmap_of(vocabulary: DataFrame) -> np.ndarray:
-    """One bit for the hash of each term, put together by Spark's bitmap aggregate."""
-    h = (F.pmod(F.xxhash64("term"), F.lit(BITS)) + 1).alias("h")
-    rows = vocabulary.select(h).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+def bitmap_of(slots: DataFrame) -> np.ndarray:
+    """One bit for each number of ``slots(h)``, 0 to ``BITS`` - 1, put together by Spark's bitmap aggregate."""
+    rows = slots.select((F.col("h") + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
     out = np.zeros(BITS, bool)
     for r in rows:
         lo = (r.bucket - 1) * 32_768
@@ -420,11 +430,11 @@ def _first_cover(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]
     return kept
 
 
-def spans_of(text: str, sides: Sides) -> list[tuple[int, int, str]]:
-    """All mentions of a text with places in the text as given (0-based, end exclusive)."""
+def spans_of(text: str, sides: Sides, shaped: bool = True) -> list[tuple[int, int, str]]:
+    """All mentions of a text with places in the text as given (0-based, end exclusive); ``shaped``: whether it may hold shaped terms."""
     t, at = visible(text)
     words = t.split()
-    found = shaped_spans(t, words)
+    found = shaped_spans(t, words) if shaped else []
     names = [(start, end, "name") for _, start, end in _name_spans(t, sides, words) if not any(start < y and x < end for x, y, _ in found)]
     spans = sorted([x for x in found if shaped_term(x[2], t[x[0] : x[1]]) not in sides.vocabulary] + _first_cover(names))
     return spans if at is None else [(at[a], at[b], kind) for a, b, kind in spans]
@@ -581,7 +591,8 @@ def scanned_readings(rows: DataFrame, sides) -> DataFrame:
 
 def joined_readings(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Readings of names with a vocabulary of any size: name-shaped pairs that a bitmap of fixed size lets through are joined with it."""
-    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap_of(vocabulary)))
+    slots = vocabulary.select(F.pmod(F.xxhash64("term"), F.lit(BITS)).alias("h"))
+    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap_of(slots)))
 
     def shaped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         likely = Likely(np.unpackbits(bits.value).view(bool))
@@ -629,13 +640,16 @@ def redact(texts: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     texts = texts.drop("clean_text")
     sides = None
     if max_terms > 0:
-        sides = shared_sides(written(protected_terms(evidence_of(texts.select("text", F.lit("").alias("tab"), F.lit(None).cast("string").alias("rec_id")))), "vocabulary"), max_terms)
+        counts = evidence_of(texts.select("text", F.lit("").alias("tab"), F.lit(None).cast("string").alias("rec_id")))
+        sides = shared_sides(written(protected_terms(counts), "vocabulary"), max_terms)
     if sides is not None:
+        # shapes are looked for again only in texts of which the first pass found some (and in those that share their bit)
+        bits = texts.sparkSession.sparkContext.broadcast(np.packbits(bitmap_of(counts.where("what = 'h'").select(F.col("start_pos").alias("h")))))
 
         def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known = Sides(sides.value)
+            known, some = Sides(sides.value), np.unpackbits(bits.value).view(bool)
             for text in parts:
-                yield pd.Series([t if t is None else redacted(t, spans_of(t, known)) for t in text], dtype=object)
+                yield pd.Series([t if t is None else redacted(t, spans_of(t, known, some[text_slot(t)])) for t in text], dtype=object)
 
         clean.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return texts.withColumn("clean_text", F.pandas_udf(clean, "string")("text"))
