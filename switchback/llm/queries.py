@@ -126,5 +126,40 @@ select chunk_id, case when max(stretch) > 180 then 'forced' else 'clean' end as
 """.replace("ABBREVIATIONS", ", ".join(f"'{a}'" for a in sorted(chunks.ABBREVIATIONS)))
 
 
+#: The pieces one after another: the last boundary within reach that lies after what is covered, or the limit.
+PIECES_SQL = P4_SQL[: P4_SQL.index("d as (select chunk_id, i - 1")].replace("with x as (select chunk_id, min(text)", "with recursive x as (select chunk_id, min(source) as source, min(text)").replace("(select chunk_id, regexp_extract_all", "(select chunk_id, source, text, regexp_extract_all") + """
+k as (select chunk_id, max(n) as n, coalesce(list(i - 1 order by i) filter (cut), []) as cuts from b group by chunk_id),
+z as (select chunk_id, n, cuts, 0 as piece, 0::bigint as start, coalesce(list_max(list_filter(cuts, lambda v: v > 0 and v <= 200)), 200) as stop from k
+  union all select chunk_id, n, cuts, piece + 1, greatest(stop - 20, 0), case when n - greatest(stop - 20, 0) <= 200 then n else coalesce(list_max(list_filter(cuts, lambda v: v > stop and v <= greatest(stop - 20, 0) + 200)), greatest(stop - 20, 0) + 200) end from z where stop < n)
+select chunk_id, source, piece, array_to_string(list_transform(range(start + 1, stop + 1), lambda j: case when j > start + 1 then gap[j] else '' end || w[j]), '') as text, (stop - start)::int as words from z join g using (chunk_id)
+union all select chunk_id, source, 0, text, len(w)::int from g where len(w) between 1 and 200
+"""
+
+
+def listed(words: str | tuple[str, ...] | frozenset[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(words.split("|") if isinstance(words, str) else words))) + "]"
+
+
+#: p8_found by the bounds of the definition, which the ranker never asks outside its sample: tokens of the prose with the gap after each.
+P8_SQL = r"""
+with a as (select doc_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x{200b}-\x{200f}\x{ad}\x{2060}\x{feff}]', '', 'g') as t from documents where text is not null),
+b as (select doc_id, regexp_replace(t, '\A\s*---[ \t]*\n(?s:.*?)\n---[ \t]*(\n|\z)', '') as t from a),
+c as (select doc_id, regexp_replace(t, '(?m)^[ \t]{0,3}#{1,6}[ \t].*$', chr(10), 'g') as t from b),
+p as (select doc_id, regexp_replace(chr(10) || t, '\n(?:[ \t]|>)*(?:[-*•+][ \t]+|\d+[.)][ \t]+|\d+\.\d+[ \t]+)?', chr(10), 'g') as t from c),
+q as (select doc_id, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) as letters, regexp_extract_all(t, '[^ \t\n\x0b\f\r]+') as w, list_append(regexp_extract_all(regexp_replace(t, '\A[ \t\n\x0b\f\r]+', ''), '[ \t\n\x0b\f\r]+'), '') as gap from p),
+u as (select doc_id, letters, generate_subscripts(w, 1) as i, len(w) as n, unnest(w) as w, unnest(gap[1:len(w)]) as gap from q),
+x as (select *, lower(w) as low, trim(lower(w), SIGNS) as bare, lead(w) over (partition by doc_id order by i) as after from u),
+m as (select doc_id, letters, (low not in (select unnest(NO_WORDS)))::int as word, regexp_matches(w, '[.!?…]+["''”’)\]]*$')::int as mark,
+  coalesce((regexp_matches(w, '(?i)(^|[^\w])(ca|approx|rd|mt|e\.g|i\.e|vs|mr|mrs|ms|dr|st|no|ft|mi|[ap]\.m)\.$') and (regexp_matches(after, '^[0-9(a-z]') or (length(gap) = 1 and regexp_matches(after, '^\p{L}') and regexp_matches(w, '(?i)(mt|st|rd|dr|mr)\.$'))))::int, 0) as inside,
+  (regexp_matches(w, '[\p{L}0-9,;:]$') and (i = n or regexp_matches(gap, '^[ \t]*\n[ \t]*\n')))::int as loose,
+  list_contains(ENGLISH, bare)::int as en, list_contains(SPANISH, bare)::int as es, list_contains(GERMAN, bare)::int as de from x),
+d as (select doc_id, sum(word) as n, max(letters) as letters, greatest(1, sum(mark) - sum(inside) + sum(loose)) as sentences, sum(en * word) as en, sum(es * word) as es, sum(de * word) as de from m group by doc_id),
+e as (select doc_id, n / sentences as words, letters / n as letters from d where n > 0 and en >= es and en >= de and en > 0)
+select doc_id, case when words < 9 and letters < 4 then 'easy' else 'demanding' end as band from e where (words < 9 and letters < 4) or (words > 22 and letters > 5.2)
+"""
+for _name, _said in (("NO_WORDS", listed(reading.NO_WORDS)), ("SIGNS", "'" + reading.SIGNS.replace("'", "''") + "'"), ("ENGLISH", listed(reading.ENGLISH)), ("SPANISH", listed(reading.SPANISH)), ("GERMAN", listed(reading.GERMAN))):
+    P8_SQL = P8_SQL.replace(_name, _said)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p2_groups": GROUPS_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL}
+    return {"p2_found": P2_SQL, "p2_groups": GROUPS_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_pieces": PIECES_SQL, "p8_found": P8_SQL}
