@@ -47,6 +47,19 @@ SIG = [f"s{i}" for i in range(COORDS // 2)]
 MARK = [f"m{i}" for i in range(4)]
 
 
+def in_batches(f: pd.DataFrame, rows: int = 1_000, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Parts of a frame with a bounded number of rows and characters (one row at least)."""
+    size = f["text"].str.len().to_numpy()
+    lo = 0
+    while lo < len(f):
+        hi, held = lo + 1, size[lo]
+        while hi < len(f) and hi - lo < rows and held + size[hi] <= chars:
+            held += size[hi]
+            hi += 1
+        yield f.iloc[lo:hi]
+        lo = hi
+
+
 def _word_table() -> np.ndarray:
     """Whether each code point belongs to a word."""
     return np.array([chr(c).isalnum() for c in range(0x110000)], bool)
@@ -128,8 +141,7 @@ def signature_table(texts: DataFrame, run: int) -> DataFrame:
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for lo in range(0, len(f), 1000):
-                g = f.iloc[lo : lo + 1000]
+            for g in in_batches(f):
                 full, sig, whole = signatures(list(g["text"]), run)
                 tabs = g["tab"].to_numpy()[full]
                 values = np.ascontiguousarray(sig[:, :COORDS]).view(np.int64).reshape(len(full), -1)
@@ -353,8 +365,7 @@ def run_sets(texts: DataFrame, wanted: DataFrame, run: int) -> DataFrame:
         known = np.unpackbits(shared.value).view(bool)
         for f in frames:
             f = f[known[f["place"].to_numpy()]]
-            for lo in range(0, len(f), 500):
-                g = f.iloc[lo : lo + 500]
+            for g in in_batches(f):
                 sets, whole = _sets(list(g["text"]), run)
                 some = np.flatnonzero(whole)
                 yield pd.DataFrame({"nid": class_numbers(whole[some], g["tab"].to_numpy()[some]), "runs": [sets[i].tobytes() for i in some]})

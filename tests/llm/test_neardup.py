@@ -165,3 +165,11 @@ def test_words_are_those_of_the_pattern():
     assert counts.tolist() == [len(w) for w in words]
     flat = list(itertools.chain.from_iterable(words))
     assert len({*zip(flat, hashes.tolist())}) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+def test_batches_are_bounded_by_characters():
+    import pandas as pd
+
+    f = pd.DataFrame({"text": ["a" * n for n in (5, 5, 5, 30, 1, 1, 1, 1)]})
+    assert [len(g) for g in N.in_batches(f, rows=3, chars=12)] == [2, 1, 1, 3, 1]
+    assert list(N.in_batches(f.iloc[:0])) == []
